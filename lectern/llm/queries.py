@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup
+from lectern.llm import exact_dedup, licenses
+from lectern.llm.common import LOWER, UPPER
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,47 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def license_sql() -> str:
+    """The canonical form, the digests and both lookups, in DuckDB's SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    punctuation = licenses.PUNCTUATION
+
+    def canonical(text: str) -> str:
+        same = f"regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), {quote(punctuation)}, ' ', 'g'), '[ \\t\\x0B\\f\\r]+', ' ', 'g')"
+        same = f"regexp_replace({same}, {quote(licenses.COPYRIGHT)}, '', 'g')"
+        for other, one in licenses.SPELLINGS.items():
+            same = f"replace({same}, {quote(other)}, {quote(one)})"
+        return same
+
+    def known(texts: dict[str, list[str]]) -> str:
+        rows = ", ".join(f"({quote(k)}, {quote(x)})" for k, xs in texts.items() for x in xs)
+        return f"SELECT sha256({whole(canonical('text'))}) AS digest, min(licence) AS licence FROM (VALUES {rows}) AS t(licence, text) GROUP BY 1"
+
+    def whole(lines: str) -> str:
+        return f"trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'), ' ')"
+
+    both = {k: [*([licenses.LICENCES[k]] if k in licenses.LICENCES else []), *licenses.NOTICES.get(k, [])] for k in {**licenses.LICENCES, **licenses.NOTICES}}
+    return f"""
+WITH own AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS lines FROM documents),
+texts AS ({known(both)}),
+notices AS ({known(licenses.NOTICES)}),
+named AS (
+    SELECT doc_id, n.licence FROM (SELECT doc_id, unnest(string_split(lines, chr(10))) AS line FROM own) AS l
+    JOIN notices AS n ON n.digest = sha256(trim(l.line, ' '))
+),
+found AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notices FROM named GROUP BY doc_id)
+SELECT own.doc_id, sha256({whole("own.lines")}) AS canonical_sha256, t.licence, f.notices, coalesce(f.n_notices, 0) AS n_notices
+FROM own LEFT JOIN texts AS t ON t.digest = sha256({whole("own.lines")}) LEFT JOIN found AS f ON f.doc_id = own.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +67,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """,
+    "op10_license_scan": license_sql(),
 }
