@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, exact_dedup, fingerprints, licenses, packing, warc
+from lectern.llm import chat, exact_dedup, fingerprints, licenses, packing, quality, warc
 from lectern.llm.common import LOWER, UPPER, new_path, remove
 
 
@@ -49,6 +49,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rows = quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
     "op10_license_scan": op10_license_scan,
 }
 
