@@ -30,6 +30,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that nothing needs any more
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

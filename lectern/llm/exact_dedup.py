@@ -49,9 +49,11 @@ def frequent(df: DataFrame, column: str, counters: int) -> DataFrame:
             for x in batch.column(0).value_counts():
                 found.add(x["values"].as_py(), x["counts"].as_py())
         found.shrink()
-        yield pa.RecordBatch.from_pydict({"key": list(found.counts), "counted": list(found.counts.values())}, schema=pa.schema([("key", pa.binary()), ("counted", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"key": list(found.counts), "counted": list(found.counts.values())}, schema=schema)
 
-    local = df.select(F.col(column).alias("key")).mapInArrow(summaries, "key binary, counted long")
+    kind = df.schema[column].dataType.simpleString()
+    schema = pa.schema([("key", {"binary": pa.binary(), "bigint": pa.int64()}[kind]), ("counted", pa.int64())])
+    local = df.select(F.col(column).alias("key")).mapInArrow(summaries, f"key {kind}, counted long")
     return local.groupBy("key").agg(F.sum("counted").alias("counted")).orderBy(F.desc("counted"), "key").limit(counters)
 
 

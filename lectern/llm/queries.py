@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, exact_dedup, fingerprints, licenses, packing, quality, warc
+from lectern.llm import chat, exact_dedup, fingerprints, jaccard_join, licenses, packing, quality, warc
 from lectern.llm.common import LOWER, UPPER, new_path, remove
 
 
@@ -41,6 +41,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op10_license_scan": op10_license_scan,
@@ -125,6 +130,25 @@ FROM escaped GROUP BY conv_id
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    "op6_jaccard_join": f"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+shingled AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) END AS s
+    FROM worded
+),
+own AS (SELECT doc_id, len(s) AS n_shingles, hash(list_sort(s)) AS h, s FROM shingled),
+tokens AS (SELECT doc_id, n_shingles, unnest(s) AS t FROM own),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM tokens AS a JOIN tokens AS b ON a.t = b.t AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n_shingles, b.n_shingles HAVING 100 * count(*) >= 85 * (a.n_shingles + b.n_shingles - count(*))
+),
+reached AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reached AS r JOIN pairs AS p ON r.b = p.a),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT doc_id, n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM own LEFT JOIN least ON a = doc_id
 """,
     "op7_warc": """
 WITH own AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
