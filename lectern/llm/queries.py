@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, exact_dedup, fingerprints, jaccard_join, licenses, mixing, packing, quality, warc
+from lectern.llm import chat, exact_dedup, fingerprints, jaccard_join, licenses, lm, mixing, packing, quality, warc
 from lectern.llm.common import LOWER, UPPER, new_path, remove
 
 
@@ -41,6 +41,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(table(spark, sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_lm_scores": op5_lm_scores,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
