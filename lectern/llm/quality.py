@@ -244,12 +244,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return fit(table, np.concatenate(lengths), np.array([len(x) for x in lengths]), np.array([x.label for x in found]))
 
 
-def score(documents: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """documents with ``score``: 0 to 1, higher where label 1 is likelier. keep: the columns to return besides (the id if None)."""
-    names = [id_col] if keep is None else keep
+def _scored(field: Field | None, spark, text: Column) -> Column:
     if field is None:
-        return documents.select(*names, F.lit(0.5).alias("score"))
-    shared = documents.sparkSession.sparkContext.broadcast(field)  # some thousand weights
+        return F.lit(0.5)
+    shared = spark.sparkContext.broadcast(field)  # some thousand weights
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -265,4 +263,17 @@ def score(documents: DataFrame, field: Field | None, id_col: str = "doc_id", tex
             out.append(own.scores(some))
             yield pd.Series(np.concatenate(out))
 
-    return documents.select(*names, scored(text_of(text_col)).alias("score"))
+    return scored(text)
+
+
+def score(documents: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of documents: its id and score, 0 to 1, higher where label 1 is likelier."""
+    return documents.select(id_col, _scored(field, documents.sparkSession, text_of(text_col)).alias("score"))
+
+
+def keep_good(documents: DataFrame, field: Field | None, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of documents, with their columns, that score ``least`` or more; all of them where nothing could be learnt."""
+    if field is None:
+        return documents
+    rows = documents.select(F.struct(*documents.columns).alias("row"), _scored(field, documents.sparkSession, text_of(text_col)).alias("score"))
+    return rows.filter(F.col("score") >= least).select("row.*")
