@@ -2,15 +2,16 @@
 
 1. Equal sets become one class, named by a digest of the set; a class that holds a large part of all rows is found by
    Misra-Gries counters and leaves one row where it is read.
-2. Signatures say which sets can link at all. If the Jaccard similarity reaches the threshold, the sets differ in at most H
+2. Signatures say which sets can link at all, and how many of them linked sets share at least. If the Jaccard similarity reaches the threshold, the sets differ in at most H
    tokens, where H follows from their size. With tokens dealt to more than H parts by their hash, some part is the same in both
    sets; the hash of a part's tokens is a signature. Sizes go by ranges, so that both sets of a pair use the same parts. There are e
-   parts more than needed, so that a set with at most e empty parts shares one that is not empty; sets with more of
-   them (rare) also give their prefix tokens, the least by hash, of which linked sets share one. Nothing is missed.
-3. Documents that share signatures form groups around centres. Links to the centre are verified on the sets, and the linked
+   parts more than needed, so that e + 1 parts are the same, and a set with n empty parts shares e + 1 - n that are not
+   empty; sets with more than e empty parts (rare) also give their prefix tokens, the least by hash, of which linked
+   sets share one. Nothing is missed.
+3. Documents that share enough signatures form groups around centres. Links to the centre are verified on the sets, and the linked
    documents are the similar documents that make a group.
 4. The token-group matrix holds for each group, in chunks of ``chunk`` members, the union of its members' tokens. A query that
-   shares a signature with another group is a candidate for it; the group opens only if the query's overlap with the union
+   shares enough signatures with a chunk of another group is a candidate for it; the group opens only if the query's overlap with the union
    reaches what a link to any member would need. Members of opened groups are compared one by one until one links.
 5. Links of both kinds give the components.
 
@@ -78,10 +79,11 @@ class Ranges:
         return [(np.arange(len(sizes)), own), (near, own[near] + 1)]
 
 
-def signatures(values: np.ndarray, sizes: np.ndarray, ranges: Ranges) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) of sets that lie one after the other in values."""
+def signatures(values: np.ndarray, sizes: np.ndarray, ranges: Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, signature, least) of sets that lie one after the other in values. least: the range of sizes times 2**20, plus
+    how many of its signatures in this range the document shares with any that it links with."""
     starts = np.cumsum(sizes) - sizes
-    docs, found = [], []
+    docs, found, least = [], [], []
     parts, spare = np.array([*ranges.parts, 0]), np.array([*ranges.spare, 0])
     for which, at in ranges.of_sizes(sizes):
         k = parts[at]
@@ -103,35 +105,37 @@ def signatures(values: np.ndarray, sizes: np.ndarray, ranges: Ranges) -> tuple[n
         docs.append(which[owner[filled]])
         found.append(sums[filled])
         empty = k - np.bincount(owner[filled], minlength=len(which))
+        least.append(((at << 20) + np.maximum(1, spare[at] + 1 - empty))[owner[filled]])
         for d in np.flatnonzero(empty > spare[at]):
             size = int(n[d])
             prefix = np.sort(values[starts[which[d]] : starts[which[d]] + size])[: size - ceil(ranges.share * size / ranges.of) + 1]
             docs.append(np.full(len(prefix), which[d]))
             found.append(_mix(_mix(prefix) ^ _mix(np.array([int(at[d]) + (1 << 60)], U64))))
-    return (np.concatenate(docs), np.concatenate(found)) if docs else (np.zeros(0, np.int64), np.zeros(0, U64))
+            least.append(np.full(len(prefix), ((int(at[d]) + len(ranges.parts)) << 20) + 1))
+    return (np.concatenate(docs), np.concatenate(found), np.concatenate(least)) if docs else (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))
 
 
 def _lists(sets: DataFrame, ranges: Ranges, batch_tokens: int) -> DataFrame:
-    """(key, sig, a, many): each set's signatures. Of sets of one batch that share a signature, the one with the least digest
+    """(key, sig, a, least, many): each set's signatures. Of sets of one batch that share a signature, the one with the least digest
     stands for all in the shuffle (key = sig, many says that there were others); the others' rows are dealt by a key of their own."""
-    schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("a", pa.int64()), ("many", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("a", pa.int64()), ("least", pa.int64()), ("many", pa.bool_())])
 
     def emit(keys: list, values: list) -> pa.RecordBatch:
         ids = np.array(keys, np.int64)
         sizes = np.array([len(x) for x in values], np.int64)
-        doc, sig = signatures(np.concatenate(values).view(U64), sizes, ranges)
+        doc, sig, least = signatures(np.concatenate(values).view(U64), sizes, ranges)
         a = ids[doc]
         order = np.lexsort((a, sig))
-        sig, a = sig[order].view(np.int64), a[order]
+        sig, a, least = sig[order].view(np.int64), a[order], least[order]
         again = np.zeros(len(sig), bool)
         again[1:] = (sig[1:] == sig[:-1]) & (a[1:] == a[:-1])
-        sig, a = sig[~again], a[~again]
+        sig, a, least = sig[~again], a[~again], least[~again]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
         many = ~first
         many[:-1] |= ~first[1:]
         key = np.where(first, sig, _mix(sig.view(U64) ^ _mix(a.view(U64))).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig), pa.array(a), pa.array(many)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig), pa.array(a), pa.array(least), pa.array(many)], schema=schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held = [], [], 0
@@ -150,7 +154,7 @@ def _lists(sets: DataFrame, ranges: Ranges, batch_tokens: int) -> DataFrame:
         if keys:
             yield emit(keys, values)
 
-    return sets.select("a", "set").mapInArrow(rows, "key long, sig long, a long, many boolean")
+    return sets.select("a", "set").mapInArrow(rows, "key long, sig long, a long, least long, many boolean")
 
 
 LINKS = "a long, b long"
@@ -225,18 +229,19 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     # Signatures that two classes or more share, with all their classes.
     each = Window.partitionBy("key")
     lists = _lists(single, ranges, batch_tokens).withColumns({"low": F.min("a").over(each), "high": F.max("a").over(each), "some": F.max("many").over(each)})
-    shared = staged(lists.filter("many OR some OR low <> high").select("sig", "a"), "shared")
-    shared = staged(shared.join(classes.filter("rep IS NOT NULL").select("a", "rep"), "a").select("sig", F.col("rep").alias("id")).distinct(), "lists")
+    shared = staged(lists.filter("many OR some OR low <> high").select("sig", "a", "least"), "shared")
+    shared = staged(shared.join(classes.filter("rep IS NOT NULL").select("a", "rep"), "a").select("sig", F.col("rep").alias("id"), "least").distinct(), "lists")
+    enough = F.col("n") >= F.col("least") % (1 << 20)
     # Groups: each document is tried with the centre that it shares most signatures with, and with the least one.
     centres = shared.groupBy("sig").agg(F.min("id").alias("centre"))
-    tries = shared.join(centres, "sig").filter("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("n"))
+    tries = shared.join(centres, "sig").filter("id <> centre").groupBy("id", "centre", "least").agg(F.count(F.lit(1)).alias("n")).filter(enough)
     tries = tries.groupBy("id").agg(F.array_distinct(F.array(F.max_by("centre", F.struct("n", -F.col("centre"))), F.min("centre"))).alias("centres"))
     tries = staged(tries.select("id", F.explode("centres").alias("chunk"), F.lit(False).alias("member")), "tries")
     members = tries.select(F.col("chunk").alias("id"), "chunk", F.lit(True).alias("member")).distinct()
     links = _verified(own, tries.unionByName(members), n, share, of)
     groups = staged(components(links), "groups")
     # The matrix: signatures that still join different groups, chunks of those groups, and the queries from other groups.
-    placed = shared.join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("group"))
+    placed = shared.join(groups, "id", "left").select("sig", "id", "least", F.coalesce("component", "id").alias("group"))
     open_sigs = placed.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("sig")
     placed = placed.join(open_sigs, "sig")
     numbered = placed.select("id", "group").distinct()
@@ -244,7 +249,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     numbered = numbered.join(loads, "group").withColumn("chunk", F.xxhash64("group", F.pmod(F.xxhash64("id"), "chunks")))
     placed = staged(placed.join(numbered.select("id", "chunk"), "id"), "placed")
     across = placed.select("sig", F.col("chunk").alias("asked"), F.col("group").alias("other")).distinct()
-    queries = placed.join(across, "sig").filter(F.col("group") < F.col("other")).select("id", F.col("asked").alias("chunk")).distinct()
+    queries = placed.join(across, "sig").filter(F.col("group") < F.col("other")).groupBy("id", "asked", "least").agg(F.count(F.lit(1)).alias("n"))
+    queries = queries.filter(enough).select("id", F.col("asked").alias("chunk")).distinct()
     queries = staged(queries.withColumn("member", F.lit(False)), "queries")
     if not queries.isEmpty():
         members = placed.select("id", "chunk").distinct().join(queries.select("chunk").distinct(), "chunk", "left_semi").select("id", "chunk", F.lit(True).alias("member"))
