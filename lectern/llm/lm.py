@@ -236,7 +236,7 @@ def mixture(cells: dict[int, int], rounds: int = 200) -> np.ndarray:
     return np.where((total > 0) & (np.arange(BUCKETS) > 0), found, 0.0)
 
 
-def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 12 << 20) -> DataFrame:
+def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of df: id, held_out, n_tokens, n_known, train_tokens, base_score, score. batch_bytes: of the texts of a batch,
     on average; a part has as many n-grams."""
     own = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
