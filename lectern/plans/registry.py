@@ -1,6 +1,171 @@
-"""Queries over the fixture tables, one for each operator of the survey, with their DuckDB equivalents."""
+"""Queries over the fixture tables, for each operator of the survey that can be checked, with their DuckDB equivalents.
+
+The fixtures are generic: documents stand in for papers, benchmark passages for questions, quality labels for sentiment, html for
+a format to be parsed.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions import text
+from lectern.operators import labels, prompts, providers, retrieval
+from lectern.session import table
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.paragraphs(table(spark, sf_dir, "documents"))
+
+
+def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.html_paragraphs(table(spark, sf_dir, "pages"))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.token_counts(table(spark, sf_dir, "documents"))
+
+
+def drop_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.drop_column(table(spark, sf_dir, "documents"), "source")
+
+
+def class_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return labels.class_label(rows)
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(found, "doc_id")
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.clean(_labelled(spark, sf_dir))
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return labels.stratified_split(rows)
+
+
+def dedup_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.stratified_split(labels.one_per_text(_labelled(spark, sf_dir))).select("doc_id", "label", "split")
+
+
+def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select(F.col("quality").alias("label"), (1 - F.col("toxic")).alias("prediction"))
+    return labels.accuracy(rows).select(F.round("accuracy", 9).alias("accuracy"), "n")
+
+
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, against all."""
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.search(rows.filter(F.col("vec_id") % 50 == 0), rows, 5)
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5)
+
+
+def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.conversation_context(table(spark, sf_dir, "conversations"))
+
+
+def guided_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.guided_prompts(table(spark, sf_dir, "documents"))
+
+
+def corpus_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = bm25_topk(spark, sf_dir)
+    found = prompts.corpus_prompts(hits, table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return found.select("question_id", "prompt", F.concat_ws(",", F.transform("sources", lambda x: x["doc_id"].cast("string"))).alias("sources"))
+
+
+def guided_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts answered by a stub, which returns a prompt's first line."""
+    return providers.complete(guided_prompt(spark, sf_dir), providers.EchoModel()).select("doc_id", "part", "answer")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (paragraphs, html_paragraphs, token_counts, drop_column, class_label, clean, stratified_split, dedup_split, accuracy, cosine_topk, bm25_topk, conversation_context, guided_prompt, corpus_prompt, guided_reading)
+}
+
+_SPLIT = """CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id)
+    <= floor(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split"""
+
+_PARAGRAPHS = """
+SELECT doc_id, pos, para FROM (
+    SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS para FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+) WHERE trim(para, ' ') <> ''
+"""
+
+_BM25 = """
+WITH asked AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}+'))) AS token FROM benchmark),
+docs AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS tokens FROM documents),
+rows AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS token FROM docs),
+tf AS (SELECT doc_id, length, token, count(*) AS tf FROM rows GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+total AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM docs),
+scored AS (
+    SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+    FROM tf JOIN df USING (token) JOIN asked USING (token), total GROUP BY item_id, doc_id
+),
+hits AS (
+    SELECT item_id AS question_id, doc_id AS id, score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored
+    ) WHERE rank <= 5
+)
+"""
+
+_GUIDED = f"""
+WITH parts AS ({_PARAGRAPHS}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM parts),
+context AS (SELECT doc_id, string_agg(para, chr(10) ORDER BY pos) AS context FROM numbered WHERE nth <= 8 GROUP BY doc_id),
+named AS (SELECT unnest(['abstract', 'method', 'problem', 'conclusion']) AS part)
+"""
+
+ORACLES: dict[str, str] = {
+    "paragraphs": f"SELECT doc_id, pos, para, length(para) AS n_chars FROM ({_PARAGRAPHS})",
+    "html_paragraphs": """
+SELECT page_id, pos, trim(regexp_replace(para, '<[^>]*>', '', 'g'), ' ') AS para FROM (
+    SELECT page_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS para FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS parts FROM pages)
+) WHERE trim(regexp_replace(para, '<[^>]*>', '', 'g'), ' ') <> ''
+""",
+    "token_counts": r"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS token FROM documents) GROUP BY ALL",
+    "drop_column": "SELECT doc_id, text, lang, n_chars FROM documents",
+    "class_label": """
+SELECT doc_id, CASE WHEN quality IN (0, 1) THEN quality END AS label, CASE quality WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' END AS label_name FROM labels
+""",
+    "clean": "SELECT doc_id, text, quality AS label FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND trim(text, ' ') <> ''",
+    "stratified_split": f"SELECT doc_id, label, {_SPLIT} FROM (SELECT doc_id, quality AS label FROM labels)",
+    "dedup_split": f"""
+SELECT doc_id, label, {_SPLIT} FROM (
+    SELECT min(doc_id) AS doc_id, any_value(quality) AS label FROM documents JOIN labels USING (doc_id) GROUP BY text
+)
+""",
+    "accuracy": "SELECT round(avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL",
+    "cosine_topk": """
+SELECT query_id, id, score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+        SELECT q.vec_id AS query_id, x.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS score
+        FROM embeddings AS q JOIN embeddings AS x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0
+    )
+) WHERE rank <= 5
+""",
+    "bm25_topk": f"{_BM25} SELECT question_id, id, score, rank FROM hits",
+    "conversation_context": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id",
+    "guided_prompt": f"{_GUIDED} SELECT doc_id, part, 'State the ' || part || ' of this paper.' || chr(10) || chr(10) || context AS prompt FROM context, named",
+    "corpus_prompt": f"""
+{_BM25}, found AS (
+    SELECT question_id, string_agg('[' || rank || '] ' || text, chr(10) ORDER BY rank) AS context, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS sources
+    FROM hits JOIN documents ON doc_id = id GROUP BY question_id
+)
+SELECT question_id, 'Answer from the passages.' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text AS prompt, sources
+FROM found JOIN benchmark ON item_id = question_id
+""",
+    "guided_reading": f"{_GUIDED} SELECT doc_id, part, 'State the ' || part || ' of this paper.' AS answer FROM context, named",
+}
