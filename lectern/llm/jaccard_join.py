@@ -9,10 +9,11 @@
    empty; sets with more than e empty parts (rare) also give their prefix tokens, the least by hash, of which linked
    sets share one. Nothing is missed.
 3. Documents that share enough signatures form groups around centres. Links to the centre are verified on the sets, and the linked
-   documents are the similar documents that make a group.
-4. The token-group matrix holds for each group, in chunks of ``chunk`` members, the union of its members' tokens. A query that
-   shares enough signatures with a chunk of another group is a candidate for it; the group opens only if the query's overlap with the union
-   reaches what a link to any member would need. Members of opened groups are compared one by one until one links.
+   documents make a group, whose links among themselves need not be looked at again.
+4. The token-group matrix: documents that share signatures, linked or not, lie together in chunks of ``chunk`` members, with the
+   union of their tokens. A query is a candidate for a chunk that holds enough of its signatures in documents that are
+   not linked with it yet; the chunk opens only if the query's overlap with the union reaches what a link to any member would
+   need. An opened chunk counts the query's overlap with all its members at once.
 5. Links of both kinds give the components.
 
 No step emits the pairs of a group. What goes to one task is a signature's or a centre's rows, pre-aggregated in each batch and
@@ -41,7 +42,7 @@ from lectern.llm.exact_dedup import frequent
 
 U64 = np.uint64
 #: Queries of a chunk that go to one task.
-SALT_ROWS = 256
+SALT_ROWS = 2048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -157,40 +158,74 @@ def _lists(sets: DataFrame, ranges: Ranges, batch_tokens: int) -> DataFrame:
     return sets.select("a", "set").mapInArrow(rows, "key long, sig long, a long, least long, many boolean")
 
 
+class _Forest:
+    """Which of a chunk's components are known to be linked."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = x = self.up[y] if y in self.up else y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+class _Chunk:
+    """A chunk's row of the matrix: the union of its members' tokens, and for each token the members that have it."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
+        self.ids = np.array([x[0] for x in members])
+        self.groups = [x[1] for x in members]
+        self.sizes = np.array([len(x[2]) for x in members])
+        tokens, owners = np.concatenate([x[2] for x in members]), np.repeat(np.arange(len(members)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.union, self.starts = np.unique(tokens[order], return_index=True)
+        self.owners, self.ends = owners[order], np.append(self.starts[1:], len(tokens))
+
+    def linked(self, own: np.ndarray, share: int, of: int) -> np.ndarray:
+        """The members that link with a set; none are looked at unless the overlap with the union is what a link needs."""
+        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+        at = at[self.union[at] == own]
+        if of * len(at) < share * len(own):
+            return at[:0]
+        width = self.ends[at] - self.starts[at]
+        inner = np.repeat(self.starts[at] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        common = np.bincount(self.owners[inner], minlength=len(self.ids))
+        return np.flatnonzero(of * common >= share * (self.sizes + len(own) - common))
+
+
 LINKS = "a long, b long"
 
 
 def _opened(rows: DataFrame, share: int, of: int) -> DataFrame:
-    """(a, b): verified links. rows: chunk (of a group), salt, member (or query), id, set, sorted by chunk and salt with members
-    first. A chunk's members and their tokens' union are held while its queries pass by."""
+    """(a, b): verified links between groups, as many as it takes to connect what a task finds linked. rows: chunk, salt, member
+    (or query), id, group, set, sorted by chunk and salt with members first. A chunk is held while its queries pass by."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, union = None, [], None
+        at, members, chunk, forest = None, [], None, _Forest()
         for batch in batches:
             found = []
-            chunks, salts, kinds, ids = (batch.column(c).to_pylist() for c in range(4))
-            sets = batch.column(4)
+            chunks, salts, kinds, ids, groups = (batch.column(c).to_pylist() for c in range(5))
+            sets = batch.column(5)
             flat, offsets = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
             for k, here in enumerate(zip(chunks, salts, strict=True)):
                 if here != at:
-                    at, members, union = here, [], None
+                    at, members, chunk, forest = here, [], None, _Forest()
                 own = flat[offsets[k] : offsets[k + 1]]
                 if kinds[k]:
-                    members.append((ids[k], own.copy()))
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate([x for _, x in members])) if members else own[:0]
-                need = -(-share * len(own) // of)  # of any set that links: at least so many tokens are common
-                if len(members) > 1 and len(np.intersect1d(union, own, assume_unique=True)) < need:
-                    continue
-                for other, x in members:
-                    if other == ids[k] or share * max(len(x), len(own)) > of * min(len(x), len(own)):
-                        continue
-                    common = len(np.intersect1d(x, own, assume_unique=True))
-                    if of * common >= share * (len(x) + len(own) - common):
-                        found.append((ids[k], other))
-                        break
+                    members.append((ids[k], groups[k], own.copy()))
+                elif members:
+                    chunk = chunk or _Chunk(members)
+                    for m in chunk.linked(own, share, of):
+                        if forest.join(groups[k], chunk.groups[m]):
+                            found.append((ids[k], int(chunk.ids[m])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
 
@@ -198,20 +233,20 @@ def _opened(rows: DataFrame, share: int, of: int) -> DataFrame:
 
 
 def _verified(documents: DataFrame, wanted: DataFrame, n: int, share: int, of: int) -> DataFrame:
-    """Links found by opening groups. wanted: id, chunk, member. A chunk with many queries is salted, and its members go to each
-    salt."""
+    """Links found by opening chunks. wanted: id, group, chunk, member. A chunk with many queries is salted, and its members go to
+    each salt."""
     loads = wanted.groupBy("chunk").agg(F.ceil(F.sum(F.when(F.col("member"), 0).otherwise(1)) / SALT_ROWS).cast("int").alias("salts"))
     dealt = wanted.join(loads.filter("salts > 0"), "chunk")
     salts = F.when(F.col("member"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
-    dealt = staged(dealt.select("id", F.struct("chunk", salts.alias("salts"), "member").alias("at")).groupBy("id").agg(F.collect_list("at").alias("at")), "wanted")
+    dealt = staged(dealt.select("id", F.struct("chunk", salts.alias("salts"), "member", "group").alias("at")).groupBy("id").agg(F.collect_list("at").alias("at")), "wanted")
     texts = documents.join(dealt, documents["id"] == dealt["id"]).select(documents["id"], "text", "at")
     sets = with_shingles(texts, F.col("text"), n, "set").select("id", "at", F.sort_array("set").alias("set"))
-    rows = sets.withColumn("at", F.explode("at")).select("at.chunk", F.explode("at.salts").alias("salt"), "at.member", "id", "set")
+    rows = sets.withColumn("at", F.explode("at")).select("at.chunk", F.explode("at.salts").alias("salt"), "at.member", "id", "at.group", "set")
     rows = rows.repartition("chunk", "salt").sortWithinPartitions("chunk", "salt", F.desc("member"), "id")
-    return staged(_opened(rows, share, of), "opened")
+    return staged(_opened(rows, share, of), "opened", pause=1.0)
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, share: int = 85, of: int = 100, chunk: int = 64, counters: int = 1024, batch_tokens: int = 1 << 21) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, share: int = 85, of: int = 100, chunk: int = 1024, counters: int = 1024, batch_tokens: int = 1 << 21) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id (the least id reachable by links). Two documents link when
     of * |intersection| >= share * |union| of their shingle sets."""
     own = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -229,7 +264,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     # Signatures that two classes or more share, with all their classes.
     each = Window.partitionBy("key")
     lists = _lists(single, ranges, batch_tokens).withColumns({"low": F.min("a").over(each), "high": F.max("a").over(each), "some": F.max("many").over(each)})
-    shared = staged(lists.filter("many OR some OR low <> high").select("sig", "a", "least"), "shared")
+    shared = staged(lists.filter("many OR some OR low <> high").select("sig", "a", "least"), "shared", pause=1.0)
     shared = staged(shared.join(classes.filter("rep IS NOT NULL").select("a", "rep"), "a").select("sig", F.col("rep").alias("id"), "least").distinct(), "lists")
     enough = F.col("n") >= F.col("least") % (1 << 20)
     # Groups: each document is tried with the centre that it shares most signatures with, and with the least one.
@@ -238,22 +273,22 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     tries = tries.groupBy("id").agg(F.array_distinct(F.array(F.max_by("centre", F.struct("n", -F.col("centre"))), F.min("centre"))).alias("centres"))
     tries = staged(tries.select("id", F.explode("centres").alias("chunk"), F.lit(False).alias("member")), "tries")
     members = tries.select(F.col("chunk").alias("id"), "chunk", F.lit(True).alias("member")).distinct()
-    links = _verified(own, tries.unionByName(members), n, share, of)
+    wanted = tries.unionByName(members).withColumn("group", F.col("id"))
+    links = _verified(own, wanted, n, share, of)
     groups = staged(components(links), "groups")
-    # The matrix: signatures that still join different groups, chunks of those groups, and the queries from other groups.
-    placed = shared.join(groups, "id", "left").select("sig", "id", "least", F.coalesce("component", "id").alias("group"))
-    open_sigs = placed.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("sig")
-    placed = placed.join(open_sigs, "sig")
-    numbered = placed.select("id", "group").distinct()
-    loads = numbered.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
-    numbered = numbered.join(loads, "group").withColumn("chunk", F.xxhash64("group", F.pmod(F.xxhash64("id"), "chunks")))
-    placed = staged(placed.join(numbered.select("id", "chunk"), "id"), "placed")
-    across = placed.select("sig", F.col("chunk").alias("asked"), F.col("group").alias("other")).distinct()
-    queries = placed.join(across, "sig").filter(F.col("group") < F.col("other")).groupBy("id", "asked", "least").agg(F.count(F.lit(1)).alias("n"))
-    queries = queries.filter(enough).select("id", F.col("asked").alias("chunk")).distinct()
-    queries = staged(queries.withColumn("member", F.lit(False)), "queries")
+    # The matrix: documents that share signatures, linked or not, are similar and lie together, in chunks. A query asks
+    # the chunks that hold enough of its signatures, in documents of other groups than its own.
+    alike = components(tries, "id", "chunk").select("id", F.col("component").alias("cluster"))
+    placed = shared.select("id").distinct().join(groups, "id", "left").join(alike, "id", "left").select("id", F.coalesce("component", "id").alias("group"), F.coalesce("cluster", "id").alias("cluster"))
+    loads = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
+    placed = placed.join(loads, "cluster").select("id", "group", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), "chunks")).alias("chunk"))
+    placed = staged(shared.join(placed, "id"), "placed")
+    across = placed.groupBy("sig", F.col("chunk").alias("asked")).agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    asking = placed.join(across, "sig").filter("asked >= chunk AND NOT (low = high AND low = group)")
+    queries = asking.groupBy("id", "group", "asked", "least").agg(F.count(F.lit(1)).alias("n")).filter(enough)
+    queries = staged(queries.select("id", "group", F.col("asked").alias("chunk"), F.lit(False).alias("member")).distinct(), "queries")
     if not queries.isEmpty():
-        members = placed.select("id", "chunk").distinct().join(queries.select("chunk").distinct(), "chunk", "left_semi").select("id", "chunk", F.lit(True).alias("member"))
+        members = placed.select("id", "group", "chunk").distinct().join(queries.select("chunk").distinct(), "chunk", "left_semi").select("id", "group", "chunk", F.lit(True).alias("member"))
         more = _verified(own, queries.unionByName(members), n, share, of)
         groups = staged(components(links.unionByName(more)), "groups")
     named = classes.join(groups, F.col("rep") == F.col("id"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
