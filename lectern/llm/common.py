@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +27,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors."""
+def staged(df: DataFrame, name: str, pause: float = 0.0) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors.
+
+    Spark deletes shuffle files when the driver's garbage collector finds that nothing needs them, so it is asked to; after a
+    large shuffle, with a pause, as the end of the query must first reach its listeners."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files that nothing needs any more
+    time.sleep(pause)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

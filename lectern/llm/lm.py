@@ -243,9 +243,9 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
     size, docs = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~held_out(F.col("id"))).cast("long")), F.lit(0))).first()
     count = max(1, -(-size // batch_bytes))
     own = own.withColumns({"train": ~held_out(F.col("id")), "batch": F.pmod(F.xxhash64("id", "text"), F.lit(count)), "part": F.lit(None).cast("long"), "reply": F.lit(None).cast("binary")})
-    replies = staged(_answer(_ask(own, count)), "replies")
+    replies = staged(_answer(_ask(own, count)), "replies", pause=1.0)
     n, v = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    measured = staged(_measure(own.unionByName(replies.select("batch", "part", "reply"), allowMissingColumns=True), n, v, docs), "measured")
+    measured = staged(_measure(own.unionByName(replies.select("batch", "part", "reply"), allowMissingColumns=True), n, v, docs), "measured", pause=1.0)
     cells = measured.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # of BUCKETS * BINS rows at most
     weights = mixture({x.cell: x.n for x in cells})
 
