@@ -23,14 +23,17 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return found.filter("a <> b").distinct()
 
 
+def _done(links: DataFrame) -> bool:
+    """Whether the links are stars: every id hangs on one centre at most, and no centre hangs on another."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(links.select(F.col("b").alias("id"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs + holds > 1 AND hangs > 0").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id that each linked id can reach. Ids without links are not in it. The tables of each step are
-    written to the shared folder, so that lineage stays short; steps end when none changes the links."""
-    links = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    links, before = staged(links, "links"), None
-    while True:
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
-        before = state
+    written to the shared folder, so that lineage stays short; steps end when the links are stars, whose centres are
+    less than all that hang on them."""
+    links = staged(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "links")
+    while not _done(links):
         links = staged(_stars(_stars(links, large=True), large=False), "links")
+    return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
