@@ -10,14 +10,14 @@
    sets share one. Nothing is missed.
 3. Documents that share enough signatures form groups around centres. Links to the centre are verified on the sets, and the linked
    documents make a group, whose links among themselves need not be looked at again.
-4. The token-group matrix: documents that share signatures, linked or not, lie together in chunks of ``chunk`` members, with the
-   union of their tokens. A query is a candidate for a chunk that holds enough of its signatures in documents that are
+4. The token-group matrix: documents that share signatures, linked or not, lie together in chunks, with the union of
+   their tokens. A query is a candidate for a chunk that holds enough of its signatures in documents that are
    not linked with it yet; the chunk opens only if the query's overlap with the union reaches what a link to any member would
    need. An opened chunk counts the query's overlap with all its members at once.
 5. Links of both kinds give the components.
 
 No step emits the pairs of a group. What goes to one task is a signature's or a centre's rows, pre-aggregated in each batch and
-salted by ``SALT_ROWS`` rows. A chunk has ``chunk`` members on average, dealt by hash.
+salted by ``SALT_ROWS`` rows. A chunk's members, dealt by hash, have ``chunk_tokens`` tokens on average, which bounds what it holds.
 
 Defined cases: a null text counts as empty; documents without words link with nothing and are a component of their own; fewer
 words than n are one shingle; repeated ids are one document as far as components go, each row has its own n_shingles; rows
@@ -239,14 +239,15 @@ def _verified(documents: DataFrame, wanted: DataFrame, n: int, share: int, of: i
     dealt = wanted.join(loads.filter("salts > 0"), "chunk")
     salts = F.when(F.col("member"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
     dealt = staged(dealt.select("id", F.struct("chunk", salts.alias("salts"), "member", "group").alias("at")).groupBy("id").agg(F.collect_list("at").alias("at")), "wanted")
-    texts = documents.join(dealt, documents["id"] == dealt["id"]).select(documents["id"], "text", "at")
+    # A merge join at every size: what is wanted grows with the documents, so it is never broadcast.
+    texts = documents.join(dealt.hint("merge"), documents["id"] == dealt["id"]).select(documents["id"], "text", "at")
     sets = with_shingles(texts, F.col("text"), n, "set").select("id", "at", F.sort_array("set").alias("set"))
     rows = sets.withColumn("at", F.explode("at")).select("at.chunk", F.explode("at.salts").alias("salt"), "at.member", "id", "at.group", "set")
     rows = rows.repartition("chunk", "salt").sortWithinPartitions("chunk", "salt", F.desc("member"), "id")
     return staged(_opened(rows, share, of), "opened", pause=1.0)
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, share: int = 85, of: int = 100, chunk: int = 1024, counters: int = 1024, batch_tokens: int = 1 << 21) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, share: int = 85, of: int = 100, chunk_tokens: int = 1 << 20, counters: int = 1024, batch_tokens: int = 1 << 21) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id (the least id reachable by links). Two documents link when
     of * |intersection| >= share * |union| of their shingle sets."""
     own = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -269,8 +270,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     enough = F.col("n") >= F.col("least") % (1 << 20)
     # Groups: each document is tried with the centre that it shares most signatures with, and with the least one.
     centres = shared.groupBy("sig").agg(F.min("id").alias("centre"))
-    tries = shared.join(centres, "sig").filter("id <> centre").groupBy("id", "centre", "least").agg(F.count(F.lit(1)).alias("n")).filter(enough)
-    tries = tries.groupBy("id").agg(F.array_distinct(F.array(F.max_by("centre", F.struct("n", -F.col("centre"))), F.min("centre"))).alias("centres"))
+    met = staged(shared.join(centres, "sig").filter("id <> centre").groupBy("id", "centre", "least").agg(F.count(F.lit(1)).alias("n")), "met")
+    most = F.max_by("centre", F.struct("n", -F.col("centre")))
+    tries = met.filter(enough).groupBy("id").agg(F.array_distinct(F.array(most, F.min("centre"))).alias("centres"))
     tries = staged(tries.select("id", F.explode("centres").alias("chunk"), F.lit(False).alias("member")), "tries")
     members = tries.select(F.col("chunk").alias("id"), "chunk", F.lit(True).alias("member")).distinct()
     wanted = tries.unionByName(members).withColumn("group", F.col("id"))
@@ -279,8 +281,11 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     # The matrix: documents that share signatures, linked or not, are similar and lie together, in chunks. A query asks
     # the chunks that hold enough of its signatures, in documents of other groups than its own.
     alike = components(tries, "id", "chunk").select("id", F.col("component").alias("cluster"))
-    placed = shared.select("id").distinct().join(groups, "id", "left").join(alike, "id", "left").select("id", F.coalesce("component", "id").alias("group"), F.coalesce("cluster", "id").alias("cluster"))
-    loads = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
+    nearest = met.groupBy("id").agg(most.alias("nearest")).join(alike.select(F.col("id").alias("nearest"), F.col("cluster").alias("beside")), "nearest", "left")
+    placed = shared.select("id").distinct().join(groups, "id", "left").join(alike, "id", "left").join(nearest, "id", "left")
+    placed = placed.select("id", F.coalesce("component", "id").alias("group"), F.coalesce("cluster", "beside", "nearest", "id").alias("cluster"))
+    placed = placed.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size")), "id")
+    loads = placed.groupBy("cluster").agg(F.ceil(F.sum("size") / chunk_tokens).alias("chunks"))
     placed = placed.join(loads, "cluster").select("id", "group", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), "chunks")).alias("chunk"))
     placed = staged(shared.join(placed, "id"), "placed")
     across = placed.groupBy("sig", F.col("chunk").alias("asked")).agg(F.min("group").alias("low"), F.max("group").alias("high"))
