@@ -27,15 +27,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, pause: float = 0.0) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors.
+def release(spark: SparkSession, pause: float = 0.0) -> None:
+    """Asks the driver's garbage collector to find what nothing needs any more; Spark then deletes its shuffle files. The last
+    query is held until its end has reached the listeners, and goes with a second collection after a pause."""
+    collect = spark.sparkContext._jvm.System.gc
+    collect()
+    if pause:
+        time.sleep(pause)
+        collect()
+        time.sleep(pause / 2)
+
 
-    Spark deletes shuffle files when the driver's garbage collector finds that nothing needs them, so it is asked to; after a
-    large shuffle, with a pause, as the end of the query must first reach its listeners."""
+def staged(df: DataFrame, name: str, pause: float = 0.0) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors. Where a large
+    shuffle ends, a pause lets its files go before the next one begins."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    time.sleep(pause)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession, pause)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
