@@ -45,7 +45,7 @@ _ENDS[[ord(x) for x in ".,;:?'\")("]] = True
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15 | 1
     inverse = pow(base, -1, 1 << 64)
-    return tuple(np.multiply.accumulate(np.concatenate([[1], np.full(n, x, np.uint64)]).astype(np.uint64)) for x in (base, inverse))
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (base, inverse))
 
 
 def _block(lines: list[bytes]) -> np.ndarray:
