@@ -21,10 +21,12 @@ def conversation_context(df: DataFrame) -> DataFrame:
     return df.groupBy("conv_id").agg(in_order(F.col("turn"), F.concat_ws(": ", "role", "text")).alias("context"))
 
 
-def guided_prompts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", first: int = 8) -> DataFrame:
-    """(id, part, prompt): for each part of a guided reading, a prompt over the document's first paragraphs that are not blank."""
+def guided_prompts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", first: int | None = None) -> DataFrame:
+    """(id, part, prompt): for each part of a guided reading, a prompt over all the document's paragraphs that are not blank, or over the
+    ``first`` of them."""
     parts = paragraphs(documents, id_col, text_col, separator)
-    context = parts.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "para"))), 1, first).alias("parts"))
+    found = F.array_sort(F.collect_list(F.struct("pos", "para")))
+    context = parts.groupBy(id_col).agg((found if first is None else F.slice(found, 1, first)).alias("parts"))
     text = F.array_join(F.transform("parts", lambda x: x["para"]), "\n")
     return context.select(id_col, F.explode(F.array(*map(F.lit, PARTS))).alias("part"), text.alias("context")).select(
         id_col, "part", F.concat(F.lit("State the "), F.col("part"), F.lit(" of this paper.\n\n"), F.col("context")).alias("prompt")

@@ -71,15 +71,18 @@ def embed(df: DataFrame, embedder: Embedder, text_col: str = "para", out: str =
 
 
 def complete(df: DataFrame, model: LanguageModel, prompt_col: str = "prompt", out: str = "answer") -> DataFrame:
-    """df with the model's answer to each prompt; one client per partition."""
-
-    @F.pandas_udf("string")
-    def answered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _opened(model)
-        for prompts in batches:
-            yield prompts.map(lambda x: None if x is None else own.complete(x))
-
-    return df.withColumn(out, answered(F.col(prompt_col)))
+    """df with the model's answer to each prompt; one client per partition. Prompts hold whole texts, so they go to Python a hundred at a
+    time, not in Arrow's batches of 10,000."""
+    opened: list[LanguageModel] = []  # empty in each task, which unpickles its own
+
+    def answered(prompt: str | None) -> str | None:
+        if prompt is None:
+            return None
+        if not opened:
+            opened.append(_opened(model))
+        return opened[0].complete(prompt)
+
+    return df.withColumn(out, F.udf(answered, "string", useArrow=False)(F.col(prompt_col)))
 
 
 class ChatApi:

@@ -40,8 +40,8 @@ class Reader:
         asked = prompts.corpus_prompts(self.retrieve(questions, k), questions.select("item_id", F.col("text").alias("para")), chunks, id_col="chunk_id", text_col="para")
         return providers.complete(asked, self.model)
 
-    def read_paper(self, paper: DataFrame, first: int = 8) -> DataFrame:
-        """(doc_id, guide): abstract, method, problem and conclusion of each paper given."""
-        answers = providers.complete(prompts.guided_prompts(paper, separator=self.separator, first=first), self.model)
+    def read_paper(self, paper: DataFrame) -> DataFrame:
+        """(doc_id, guide): abstract, method, problem and conclusion of each paper given, over its whole text."""
+        answers = providers.complete(prompts.guided_prompts(paper, separator=self.separator), self.model)
         parts = [F.max(F.when(F.col("part") == x, F.col("answer"))).alias(x) for x in prompts.PARTS]
         return answers.groupBy("doc_id").agg(*parts).select("doc_id", F.struct(*prompts.PARTS).alias("guide"))

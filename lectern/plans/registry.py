@@ -75,7 +75,8 @@ def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guided_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.guided_prompts(table(spark, sf_dir, "documents"))
+    """Over the first 8 paragraphs, as its SQL has it."""
+    return prompts.guided_prompts(table(spark, sf_dir, "documents"), first=8)
 
 
 def corpus_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +86,9 @@ def corpus_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guided_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts answered by a stub, which returns a prompt's first line."""
-    return providers.complete(guided_prompt(spark, sf_dir), providers.EchoModel()).select("doc_id", "part", "answer")
+    """Prompts over whole texts, answered by a stub, which returns a prompt's first line."""
+    asked = prompts.guided_prompts(table(spark, sf_dir, "documents"))
+    return providers.complete(asked, providers.EchoModel()).select("doc_id", "part", "answer")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
