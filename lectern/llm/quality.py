@@ -6,7 +6,7 @@ lengths, make the document's share of good text, which a logistic curve turns in
 shuffled, and a text is taken whole.
 
 The field is fitted on the driver, on a bounded sample of labelled rows: ``sample`` of those allowed for learning, the first by the
-MD5 of their id, and of each the first ``sample_lines`` lines. A line's label in the sample is that of its document.
+MD5 of their id, and of each all lines. A line's label in the sample is that of its document.
 
 Defined cases: a null text counts as empty, an empty text is one empty line; rows are scored one by one, so repeated ids and rows
 are no matter; labels that are null or of documents that are missing are not used; without any usable label every score is 0.5;
@@ -219,7 +219,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, sample_lines: int = 400) -> Field | None:
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000) -> Field | None:
     """The field learnt from the labelled rows that may be learnt from; None without any."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
     chosen = chosen.dropDuplicates(["id"]).orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sample)
@@ -232,7 +232,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             made = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 table, lengths, _ = features([text])
-                made.append({"label": label, "table": table[:sample_lines].astype("<f4").tobytes(), "lengths": lengths[:sample_lines].astype("<f4").tobytes()})
+                made.append({"label": label, "table": table.astype("<f4").tobytes(), "lengths": lengths.astype("<f4").tobytes()})
             yield pa.RecordBatch.from_pylist(made, schema=schema)
 
     found = rows.select("text", "label").mapInArrow(describe, "label int, table binary, lengths binary").collect()

@@ -60,3 +60,14 @@ def test_edges(spark, labelled):
     kept = quality.keep_good(docs, field, 0.0)
     assert kept.columns == docs.columns and kept.count() == 6
     assert quality.score(docs.limit(0), field).count() == 0
+
+
+def test_lines_after_the_400th_are_learnt_from(spark):
+    prefix = "The same line in all documents.\n" * 400
+    texts = {1: "Good text, all of it, and more of that.\n" * 400, 0: "### $$$ %%% @@@\n" * 400}
+    docs = spark.createDataFrame([(k, prefix + texts[k % 2]) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    bad, good = quality.train(docs, labels).share(*quality.features([prefix + texts[0], prefix + texts[1]]))
+    assert good - bad > 3  # in log-odds of the share of good text
+    scores = quality.score(docs, quality.train(docs, labels)).collect()
+    assert min(x.score for x in scores if x.doc_id % 2) > max(x.score for x in scores if not x.doc_id % 2) + 0.01
