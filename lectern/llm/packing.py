@@ -12,6 +12,7 @@ they come; a document of any length is cut as it is; an empty table gives an emp
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,21 +94,29 @@ def _bytes_of() -> dict[str, int]:
 
 
 class Tokenizer:
-    """The ids of a byte-level BPE file, as little-endian unsigned 32-bit bytes. Strings of special tokens in a text are
-    ordinary text."""
+    """The ids of a byte-level BPE file, as little-endian unsigned 32-bit bytes. The file's added tokens part a text, and where they
+    stand in it are their own ids."""
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {x["id"] for x in model.get("added_tokens", [])}
-        byte = _bytes_of()
+        added = model.get("added_tokens", [])
+        if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on what is beside them are not supported")
+        self.added = {x["content"]: x["id"] for x in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.parts = re.compile(f"({'|'.join(map(re.escape, longest_first))})" if added else "(?!)")
+        special, byte = set(self.added.values()), _bytes_of()
         ranks = {bytes(byte[c] for c in token): n for token, n in model["model"]["vocab"].items() if n not in special}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        found = []
+        for k, part in enumerate(self.parts.split(text)):  # every other part is an added token
+            found += [self.added[part]] if k % 2 else self.encoding.encode_ordinary(part)
+        return np.array(found, "<u4").tobytes()
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}

@@ -87,3 +87,25 @@ def test_edges(spark, texts):
     assert {x.doc_id for x in rows} == set(range(len(texts)))
     if texts in ([None], ["", None, ""]):
         assert all((x.length, x.start, bytes(x.ids)) == (1, 0, b"\1\0\0\0") for x in rows)
+
+
+@cache
+def by_default():
+    """Apart from the one above, whose setting a test changes."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+@settings(deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "'s", "é", "12", "!"]), max_size=12))
+def test_added_tokens_are_those_of_the_tokenizer(parts):
+    text = "<|endoftext|>".join(["".join(parts), "a "])
+    own, theirs = packing.tokenizer(tokenizer_path()), by_default()
+    assert np.frombuffer(own.ids(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_ids_of_an_added_token(spark):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    row = packing.pack_documents(df, tokenizer_path()).first()
+    assert np.frombuffer(bytes(row.ids), "<u4").tolist() == [64, 220, 50256, 275, 1] and row.doc_tokens == row.length == 5
