@@ -12,6 +12,8 @@ id and text columns are read, so other columns can have any name.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ For more information, please refer to <https://unlicense.org>""",
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
 }
+# Longer texts lie in files, as they are published.
+LICENCES |= {x.stem: x.read_text(encoding="utf-8") for x in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0"],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],

@@ -29,3 +29,11 @@ def test_notices_and_repeats(spark):
 def test_no_python_on_the_main_path(spark):
     plan = licenses.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_licences_are_known(spark):
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"]
+    texts = [licenses.LICENCES[x] for x in names]
+    df = spark.createDataFrame([(k, "Copyright 2020 X\n" + x.replace("\n\n", "\n \n\n")) for k, x in enumerate(texts)] + [(99, texts[2] + " more")], "doc_id long, text string")
+    found = {x.doc_id: x.licence for x in licenses.scan(df).collect()}
+    assert found == dict(enumerate(names)) | {99: None}
