@@ -78,7 +78,7 @@ class ApproximateIndex:
     def __init__(self, index: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", width: float = 1.0, tables: int = 8, seed: int = 7):
         from pyspark.ml.feature import BucketedRandomProjectionLSH
 
-        self.id_col, self.vector_col = id_col, vector_col
+        self.index, self.id_col, self.vector_col = index, id_col, vector_col
         rows = self._units(index)
         self.model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(rows)
         self.rows = rows
@@ -91,11 +91,14 @@ class ApproximateIndex:
         return df.filter(norm > 0).select(F.col(self.id_col).alias("id"), array_to_vector(F.transform(wide, lambda x: x / norm)).alias("unit"))
 
     def search(self, queries: DataFrame, k: int = 5, distance: float = 1.2) -> DataFrame:
-        """(query_id, id, score, rank) of neighbours within a Euclidean distance of the unit vectors."""
+        """(query_id, id, score, rank) of neighbours within a Euclidean distance of the unit vectors. Queries with fewer than k of them are searched exactly."""
         pairs = self.model.approxSimilarityJoin(self._units(queries), self.rows, distance, distCol="distance")
         found = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), (1 - F.col("distance") ** 2 / 2).alias("score")).filter("query_id <> id")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+        found = found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+        full = found.filter(F.col("rank") == k).select(F.col("query_id").alias(self.id_col))
+        rest = search(queries.join(full, self.id_col, "left_anti"), self.index, k, self.id_col, self.vector_col)
+        return found.join(full.withColumnRenamed(self.id_col, "query_id"), "query_id", "left_semi").unionByName(rest)
 
 
 def bm25(questions: DataFrame, documents: DataFrame, k: int = 5, question_id: str = "item_id", id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:

@@ -34,6 +34,12 @@ def test_approximate_index_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_approximate_search_gives_k_rows(spark):
+    df = vectors(spark, [(1, [1.0, 0.0]), (2, [-1.0, 0.1]), (3, [-1.0, -0.2])])
+    found = retrieval.ApproximateIndex(df).search(df.filter("vec_id = 1"), 2).orderBy("rank").collect()
+    assert [(x.query_id, x.id, x["rank"]) for x in found] == [(1, 3, 1), (1, 2, 2)]
+
+
 def test_bm25_edges(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, ""), (4, "beta beta")], "doc_id long, text string")
     ask = lambda *x: spark.createDataFrame(list(enumerate(x)), "item_id long, text string")
