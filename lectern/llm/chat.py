@@ -6,7 +6,7 @@ The parser knows one rule: backslashes that stand directly before a control stri
 odd number of them makes the control string ordinary text. Backslashes elsewhere are ordinary. In a role, a backslash makes
 the next character ordinary; a colon ends it.
 
-Rows are sorted into ranges of (conversation, turn), so that a conversation of any length is spread over as many tasks as its
+Rows are sorted into ranges of (conversation, turn, role, text), so that a conversation of any length is spread over as many tasks as its
 rows take; each task renders parts of at most ``part_chars`` characters (one turn at least). A part is text of its own that
 parses by itself, and a conversation is its parts in order.
 
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import col
+
 OPEN, CLOSE = "### ", "</turn>"
 CONTROL = re.compile(r"(\\*)(### |</turn>)")
 LAST = re.compile(r"\\+\Z")
@@ -113,9 +115,11 @@ def render(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: st
     """One row per part of a conversation: conv_id, part (its order), first and last (whether its task knows that the
     conversation begins or ends there), n_turns, text, loss (the spans of assistant texts, as escaped), steps (of escaping)."""
     empty = F.lit("")
-    rows = df.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text"))
-    order = ["conv_id", "turn", "role", "tie"]
-    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("tie", "turn")
+    rows = df.select(col(conv_id).cast("long").alias("conv_id"), col(turn).cast("long").alias("turn"), F.coalesce(col(role), empty).alias("role"), F.coalesce(col(text), empty).alias("text"))
+    # The ranges' bounds hold the beginnings of texts, which have the texts' order; equal beginnings are in one range, so the sort
+    # within ranges completes the order.
+    rows = rows.withColumn("begin", F.substring("text", 1, 64))
+    rows = rows.repartitionByRange("conv_id", "turn", "role", "begin").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("n_turns", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("steps", pa.int64())])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,6 +46,10 @@ def test_edges(spark):
     check(spark, [])
 
 
+def test_texts_of_one_turn_follow_each_other_by_text(spark):
+    check(spark, [(1, 0, "user", x) for x in ("b", "a", "", "ab", "\U0001f600", "\uffff", "B")] + [(1, 0, "assistant", "x" * 64 + y) for y in "badc"])
+
+
 def test_a_very_long_conversation_is_spread_and_read_in_order(spark):
     rows = [(7, k, ("user", "assistant")[k % 2], f"turn {k} ### </turn>\\") for k in range(3000)] + [(c, 0, "assistant", "x") for c in range(20) if c != 7]
     check(spark, rows, part_chars=2000)
