@@ -78,6 +78,39 @@ def test_edges(spark, rows):
     assert sorted(map(tuple, found)) == sorted(expected(rows))
 
 
+def test_extreme_and_skewed_ids(spark, monkeypatch):
+    texts = lambda k: f"word{k} and some more words here {k % 3}"
+    ids = [-(2**63), 2**63 - 1, 10**15, *range(3000)]
+    df = spark.createDataFrame([(k, texts(k)) for k in ids], "doc_id long, text string").repartition(3)
+    found = fingerprints.compare_with_next(df).select(*COLUMNS).collect()
+    assert sorted(map(tuple, found)) == sorted(expected([(k, texts(k)) for k in ids]))
+
+
+def test_order_and_buckets_where_ids_repeat_or_are_null(spark):
+    rows = [(k, k * 7919 % 2**40 - 2**39) for k in range(800)] + [(5, k * 2**54 - 2**62) for k in range(400)] + [(None, k * 2**54 - 2**62) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, tie long").repartition(4)
+    seen = []
+
+    def prepare(x):
+        seen.append(x)
+        return x
+
+    found = [(x.id, x.tie, tuple(x.next)) for x in fingerprints.with_next(df, prepare, ["id", "tie"], per_bucket=20).collect()]
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert sorted(found, key=repr) == sorted([(*a, b) for a, b in zip(order, order[1:] + order[:1], strict=True)], key=repr)
+    assert max(x["count"] for x in seen[0].groupBy("bucket").count().collect()) <= 70
+
+
+def test_groups_are_merged_in_rounds(spark):
+    rows = [(k % 3, [k, k + 1000, k % 7]) for k in range(2000)] + [(9, [4]), (None, [1, 2]), (9, None)]
+    df = spark.createDataFrame(rows, "g int, s array<long>")
+    found = {x.g: list(x.s) for x in fingerprints.merge_groups(df, "g", "s", 16, fan=5).collect()}
+    want = {}
+    for g, s in rows:
+        want.setdefault(g, set()).update(s or [])
+    assert found == {g: sorted(s)[:16] for g, s in want.items()}
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "c"), (2, "d")], "doc_id long, text string")
     assert fingerprints.compare_with_next(df).count() == 5
