@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-import time
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,49 +13,75 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space that parts words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+#: With this, Spark deletes a query's shuffle files when the query ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns as one struct, so that none can clash with a name of an operator's own."""
+    return F.struct(*(col(c) for c in df.columns))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is taken from the session's spark.checkpoint.dir; only where that
-    is unset, as in tests on one machine, a temporary folder takes its place."""
+    """The folder that driver and executors share, from the session's spark.checkpoint.dir. Only in a session of one machine, as in
+    tests, a temporary folder takes its place where that is unset; on a cluster it is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lectern-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
     return context.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def release(spark: SparkSession, pause: float = 0.0) -> None:
-    """Asks the driver's garbage collector to find what nothing needs any more; Spark then deletes its shuffle files. The last
-    query is held until its end has reached the listeners, and goes with a second collection after a pause."""
-    collect = spark.sparkContext._jvm.System.gc
-    collect()
-    if pause:
-        time.sleep(pause)
-        collect()
-        time.sleep(pause / 2)
-
-
-def staged(df: DataFrame, name: str, pause: float = 0.0) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors. Where a large
-    shuffle ends, a pause lets its files go before the next one begins."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    release(df.sparkSession, pause)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A path of its own in the shared folder, which is deleted when the application ends, if it is still there then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors. The query that
+    writes it is run this once, so that its shuffle files can go when it ends."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PLACES[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more. Tables that a result still reads are left to the application's end."""
+    for table in tables:
+        remove(table.sparkSession, _PLACES.pop(table))
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, files = _files(spark, path)
+    files.delete(at, True)
 
 
 def text_of(column: str) -> Column:
     """Null texts count as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(col(column), F.lit(""))
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import staged
+from lectern.llm.common import discard, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,5 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     less than all that hang on them."""
     links = staged(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "links")
     while not _done(links):
-        links = staged(_stars(_stars(links, large=True), large=False), "links")
+        following = staged(_stars(_stars(links, large=True), large=False), "links")
+        discard(links)
+        links = following
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

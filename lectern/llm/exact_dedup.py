@@ -3,11 +3,12 @@
 Every text becomes a SHA-256 digest. Misra-Gries summaries, one per partition and merged, name the digests that may be
 frequent; one aggregation counts those exactly. The verified winners, ``counters`` at most, are broadcast, so that the
 rows of a very large group of copies are settled where they are read. The remaining digests, none of which has more than
-1 / (counters + 1) of all rows, take an ordinary shuffle of (digest, id) rows. Texts are never shuffled to be marked.
+1 / (counters + 1) of all rows, take an ordinary shuffle of (digest, id) rows: their largest ids and counts are aggregated, first
+within each task, and joined back, so that no task holds a group. Texts are never shuffled to be marked.
 
 Defined cases: a null text counts as empty; a null id is smaller than any other; rows that repeat both id and text are one
-group, of which exactly one row is kept; an empty table gives an empty result; other columns are left alone, and a clash
-with a name of the result is avoided by reading the id and text columns alone.
+group, of which exactly one row is kept; an empty table gives an empty result; other columns are carried in one struct, so they
+can have any name, dots and the names used here included.
 """
 
 from __future__ import annotations
@@ -15,9 +16,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lectern.llm.common import staged, text_of
+from lectern.llm.common import col, row_of, staged, text_of
 
 
 class MisraGries:
@@ -64,7 +64,7 @@ def digest(text: str) -> Column:
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(rows, winners). rows: id, digest, keep_id, group_size, kept; one for each row of df. winners: the verified heavy
     digests with keep_id, group_size and twins, the number of their rows that carry keep_id; at most ``counters`` rows."""
-    keyed = staged(df.select(F.col(id_col).alias("id"), digest(text_col).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
+    keyed = staged(df.select(col(id_col).alias("id"), digest(text_col).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
     least = keyed.count() / (counters + 1)
     candidates = frequent(keyed, "digest", counters).select(F.col("key").alias("digest"))
     best = F.max(F.struct("id", "row"))
@@ -72,8 +72,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
     winners = keyed.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     winners = staged(winners.filter((F.col("group_size") > least) & (F.col("group_size") > 1)), "winners")
     marked = keyed.join(F.broadcast(winners), "digest", "left")
-    each = Window.partitionBy("digest")
-    light = marked.filter("best IS NULL").withColumns({"best": best.over(each), "group_size": F.count(F.lit(1)).over(each)})
+    light = marked.filter("best IS NULL").select("id", "digest", "row")
+    light = light.join(light.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "digest")
     rows = marked.filter("best IS NOT NULL").unionByName(light)
     return rows.select("id", "digest", F.col("best.id").alias("keep_id"), "group_size", (F.col("best.row") == F.col("row")).alias("kept")), winners.select("digest", F.col("best.id").alias("keep_id"), "group_size")
 
@@ -81,7 +81,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
 def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
     """One row per row of df: its id, keep_id (the largest id of its group), group_size, kept, text_sha256."""
     rows, _ = groups(df, id_col, text_col, counters)
-    return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.select(col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
@@ -89,8 +89,7 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     winners; the other copies by a join on the ids that go."""
     rows, winners = groups(df, id_col, text_col, counters)
     rows = staged(rows, "groups")
-    names = df.columns
-    own = df.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), digest(text_col).alias("digest"))
+    own = df.select(row_of(df).alias("row"), col(id_col).alias("id"), digest(text_col).alias("digest"))
     heavy = F.broadcast(winners.select("digest", F.col("keep_id").alias("heavy_id"), F.lit(True).alias("heavy")))
     own = own.join(heavy, "digest", "left").filter("heavy IS NULL OR id <=> heavy_id")
     gone = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").filter("NOT kept AND NOT id <=> keep_id").select(F.col("id").alias("gone"), F.col("digest").alias("gone_digest"))

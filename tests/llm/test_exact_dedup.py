@@ -43,3 +43,12 @@ def test_marks(spark, counters):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.mark_duplicates(df).count() == 0 and exact_dedup.drop_duplicates(df).count() == 0
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["doc_id", "text", "a.b", "gone", "row", "best", "digest`", "keep_id"]
+    df = spark.createDataFrame([(k, "ab"[k % 2], *range(k, k + 6)) for k in range(6)], names)
+    left = exact_dedup.drop_duplicates(df, counters=1)
+    assert left.columns == names and sorted(map(tuple, left.collect())) == [(k, "ab"[k % 2], *range(k, k + 6)) for k in (4, 5)]
+    odd = df.withColumnRenamed("doc_id", "id.of").withColumnRenamed("text", "the.text")
+    assert exact_dedup.mark_duplicates(odd, "id.of", "the.text").filter("kept").count() == 2
