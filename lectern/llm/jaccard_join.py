@@ -8,21 +8,27 @@
    parts more than needed, so that e + 1 parts are the same, and a set with n empty parts shares e + 1 - n that are not
    empty; sets with more than e empty parts (rare) also give their prefix tokens, the least by hash, of which linked
    sets share one. Nothing is missed.
-3. Documents that share enough signatures form groups around centres. Links to the centre are verified on the sets, and the linked
-   documents make a group, whose links among themselves need not be looked at again.
-4. The token-group matrix: documents that share signatures, linked or not, lie together in chunks, with the union of
-   their tokens. A query is a candidate for a chunk that holds enough of its signatures in documents that are
-   not linked with it yet; the chunk opens only if the query's overlap with the union reaches what a link to any member would
-   need. An opened chunk counts the query's overlap with all its members at once.
-5. Links of both kinds give the components.
-
-No step emits the pairs of a group. What goes to one task is a signature's or a centre's rows, pre-aggregated in each batch and
-salted by ``SALT_ROWS`` rows. A chunk's members, dealt by hash, have ``chunk_tokens`` tokens on average, which bounds what it holds.
+   A document whose shared signatures are fewer than any link needs is left out here.
+3. Similar documents are partitioned into groups: each document lies with the centre that it shares most signatures with (the centre of a
+   signature is the least id that has it). A group has about ``group_tokens`` tokens, where every document counts for ``ROW_TOKENS`` at
+   least; larger ones are dealt to several groups by hash, each of which has a copy of the centre's set.
+4. The token-group matrix is built and stored: a row for each group, the union of its members' tokens. As a group's members meet to make
+   their row, links among them are found: a member's overlap with the union of the others bounds its overlap with any of them, and only
+   a member that reaches what a link needs is held against the members of other components, in one count over the group's
+   inverted index. Where all members link with the centre, one count settles the group.
+5. Queries: a document is a candidate for another group that holds enough of its signatures, in documents that are not linked with it
+   yet. Its overlap with the group's stored union is counted against the matrix, and the group is opened only if that reaches what
+   a link to any member needs; only then are the members' sets sent. No document asks its own group, or a pair of groups twice.
+6. Links of both kinds give the components.
+
+No step emits the pairs of a group. What goes to one task is a signature's rows, pre-aggregated in each batch, a group, or ``SALT_ROWS`` queries
+of a group. Worst case, stated: documents of very many components that all share as many signatures as a link needs, but do not link, ask
+each other's groups, which is documents times groups rows, not documents squared.
 
 Defined cases: a null text counts as empty; documents without words link with nothing and are a component of their own; fewer
 words than n are one shingle; repeated ids are one document as far as components go, each row has its own n_shingles; rows
 with a null id belong to the component of equal sets that have an id, else to none (null); an empty table gives an empty result;
-columns other than the id and the text are not read. Shingles are compared by 64-bit hash.
+columns other than the id and the text are not read, or carried whole whatever their names (``one_of_each``). Shingles are compared by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -36,13 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import staged, text_of, with_shingles
+from lectern.llm.common import col, discard, row_of, staged, text_of, with_shingles
 from lectern.llm.components import components
 from lectern.llm.exact_dedup import frequent
 
 U64 = np.uint64
-#: Queries of a chunk that go to one task.
-SALT_ROWS = 2048
+#: Queries of a group that go to one task.
+SALT_ROWS = 256
+#: What a short document counts for in a group, so that a group has not too many rows.
+ROW_TOKENS = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -158,150 +166,247 @@ def _lists(sets: DataFrame, ranges: Ranges, batch_tokens: int) -> DataFrame:
     return sets.select("a", "set").mapInArrow(rows, "key long, sig long, a long, least long, many boolean")
 
 
-class _Forest:
-    """Which of a chunk's components are known to be linked."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.setdefault(x, x)) != x:
-            self.up[x] = x = self.up[y] if y in self.up else y
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
+class Group:
+    """A row of the matrix: the union of a group's tokens; and, while its members are at hand, for each token those that have it."""
 
-class _Chunk:
-    """A chunk's row of the matrix: the union of its members' tokens, and for each token the members that have it."""
-
-    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
-        self.ids = np.array([x[0] for x in members])
-        self.groups = [x[1] for x in members]
-        self.sizes = np.array([len(x[2]) for x in members])
-        tokens, owners = np.concatenate([x[2] for x in members]), np.repeat(np.arange(len(members)), self.sizes)
+    def __init__(self, ids: list[int], sets: list[np.ndarray], share: int, of: int):
+        self.share, self.of = share, of
+        self.ids = np.array(ids, np.int64)
+        self.sizes = np.array([len(x) for x in sets])
+        tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(tokens, kind="stable")
         self.union, self.starts = np.unique(tokens[order], return_index=True)
         self.owners, self.ends = owners[order], np.append(self.starts[1:], len(tokens))
+        self.counted = 0  # how often members were looked at
+
+    def needed(self, size: int) -> int:
+        """The tokens that a set of this size must share with any that it links with."""
+        return -(-self.share * size // self.of)
 
-    def linked(self, own: np.ndarray, share: int, of: int) -> np.ndarray:
-        """The members that link with a set; none are looked at unless the overlap with the union is what a link needs."""
-        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
-        at = at[self.union[at] == own]
-        if of * len(at) < share * len(own):
-            return at[:0]
+    def linked(self, own: np.ndarray) -> np.ndarray:
+        """Which members link with a set."""
+        self.counted += 1
+        at = places(self.union, own)
         width = self.ends[at] - self.starts[at]
         inner = np.repeat(self.starts[at] - (np.cumsum(width) - width), width) + np.arange(width.sum())
         common = np.bincount(self.owners[inner], minlength=len(self.ids))
-        return np.flatnonzero(of * common >= share * (self.sizes + len(own) - common))
-
-
-LINKS = "a long, b long"
-
-
-def _opened(rows: DataFrame, share: int, of: int) -> DataFrame:
-    """(a, b): verified links between groups, as many as it takes to connect what a task finds linked. rows: chunk, salt, member
-    (or query), id, group, set, sorted by chunk and salt with members first. A chunk is held while its queries pass by."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, chunk, forest = None, [], None, _Forest()
-        for batch in batches:
-            found = []
-            chunks, salts, kinds, ids, groups = (batch.column(c).to_pylist() for c in range(5))
-            sets = batch.column(5)
-            flat, offsets = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
-            for k, here in enumerate(zip(chunks, salts, strict=True)):
-                if here != at:
-                    at, members, chunk, forest = here, [], None, _Forest()
-                own = flat[offsets[k] : offsets[k + 1]]
-                if kinds[k]:
-                    members.append((ids[k], groups[k], own.copy()))
-                elif members:
-                    chunk = chunk or _Chunk(members)
-                    for m in chunk.linked(own, share, of):
-                        if forest.join(groups[k], chunk.groups[m]):
-                            found.append((ids[k], int(chunk.ids[m])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
-
-    return rows.mapInArrow(links, LINKS)
-
-
-def _verified(documents: DataFrame, wanted: DataFrame, n: int, share: int, of: int) -> DataFrame:
-    """Links found by opening chunks. wanted: id, group, chunk, member. A chunk with many queries is salted, and its members go to
-    each salt."""
-    loads = wanted.groupBy("chunk").agg(F.ceil(F.sum(F.when(F.col("member"), 0).otherwise(1)) / SALT_ROWS).cast("int").alias("salts"))
-    dealt = wanted.join(loads.filter("salts > 0"), "chunk")
-    salts = F.when(F.col("member"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
-    dealt = staged(dealt.select("id", F.struct("chunk", salts.alias("salts"), "member", "group").alias("at")).groupBy("id").agg(F.collect_list("at").alias("at")), "wanted")
+        return self.of * common >= self.share * (self.sizes + len(own) - common)
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links that connect all members that are linked with each other."""
+        found, component = [], np.arange(len(self.ids))
+        many = self.ends - self.starts > 1
+        for k, own in enumerate(sets):
+            others = component != component[k]
+            if not others.any():
+                break
+            if many[places(self.union, own)].sum() < self.needed(len(own)):
+                continue  # the union of the others does not hold enough of it
+            for m in np.flatnonzero(self.linked(own) & others):
+                if component[m] != component[k]:
+                    found.append((int(self.ids[k]), int(self.ids[m])))
+                    component[component == component[m]] = component[k]
+        return found
+
+
+def places(union: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where in a sorted union the tokens of a sorted set are that it holds."""
+    if not len(union):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+    return at[union[at] == own]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[bool, tuple, list, np.ndarray]]:
+    """(whether a new run of the first ``keys`` columns begins, the run, the other values, set) of rows that come sorted; the set is the last column."""
+    at = None
+    for batch in batches:
+        values = [batch.column(c).to_pylist() for c in range(batch.num_columns - 1)]
+        flat, offsets = batch.columns[-1].values.to_numpy(zero_copy_only=False), batch.columns[-1].offsets.to_numpy()
+        for k, row in enumerate(zip(*values, strict=True)):
+            new = row[:keys] != at
+            at = row[:keys]
+            yield new, at, row[keys:], flat[offsets[k] : offsets[k + 1]].copy()
+
+
+MATRIX = "a long, b long, group long, members long, union array<long>"
+
+
+def _matrix(rows: DataFrame, share: int, of: int) -> DataFrame:
+    """From (group, id, set), sorted by group: a row of the matrix for each group, and (a, b) for the links within it."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64()), ("members", pa.int64()), ("union", pa.list_(pa.int64()))])
+
+    def made(group: int, ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        own = Group(ids, sets, share, of)
+        links = own.links(sets)
+        columns = [[x[0] for x in links] + [None], [x[1] for x in links] + [None], [None] * len(links) + [group], [None] * len(links) + [len(ids)], [None] * len(links) + [own.union]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, sets = None, [], []
+        for new, (at,), (key,), own in _runs(batches, 1):
+            if new and ids:
+                yield made(group, ids, sets)
+                ids, sets = [], []
+            group = at
+            ids.append(key)
+            sets.append(own)
+        if ids:
+            yield made(group, ids, sets)
+
+    return rows.mapInArrow(build, MATRIX)
+
+
+def _salted(rows: DataFrame, salts: str = "salts") -> DataFrame:
+    """Rows (group, salts, first, ...) with a salt: rows that come first go to each salt of their group, others to one."""
+    salt = F.when(F.col("first"), F.sequence(F.lit(0), F.col(salts) - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col(salts)).cast("int")))
+    return rows.withColumn("salt", F.explode(salt)).drop(salts)
+
+
+def _salts(queries: DataFrame) -> DataFrame:
+    return queries.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+
+
+def _sets(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """wanted (id, group, ...) with the sets of the documents, each made once."""
+    inner = [c for c in wanted.columns if c != "id"]
+    dealt = wanted.groupBy("id").agg(F.collect_list(F.struct(*inner)).alias("at"))
     # A merge join at every size: what is wanted grows with the documents, so it is never broadcast.
-    texts = documents.join(dealt.hint("merge"), documents["id"] == dealt["id"]).select(documents["id"], "text", "at")
+    texts = documents.join(dealt.withColumnRenamed("id", "key").hint("merge"), F.col("id") == F.col("key")).select("id", "text", "at")
     sets = with_shingles(texts, F.col("text"), n, "set").select("id", "at", F.sort_array("set").alias("set"))
-    rows = sets.withColumn("at", F.explode("at")).select("at.chunk", F.explode("at.salts").alias("salt"), "at.member", "id", "at.group", "set")
-    rows = rows.repartition("chunk", "salt").sortWithinPartitions("chunk", "salt", F.desc("member"), "id")
-    return staged(_opened(rows, share, of), "opened")
-
+    return sets.withColumn("at", F.explode("at")).select("at.*", "id", "set")
+
+
+def qualifying(queries: DataFrame, sets: DataFrame, matrix: DataFrame, share: int, of: int) -> DataFrame:
+    """(group, id, overlap, qualifies) of queries (group, id, set): their overlap with the union of the group's tokens, and whether it is as large as a link
+    to any member needs."""
+    schema = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("overlap", pa.int64()), ("qualifies", pa.bool_())])
+    salts = _salts(queries)
+    unions = matrix.filter("union IS NOT NULL").join(salts, "group").select("group", "salts", F.lit(True).alias("first"), F.lit(None).cast("long").alias("id"), F.col("union").alias("set"))
+    asking = sets.join(salts, "group").select("group", "salts", F.lit(False).alias("first"), "id", "set")
+    rows = _salted(unions.unionByName(asking)).select("group", "salt", "first", "id", "set")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union, found = None, []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for _, (group, _), (first, key), own in _runs(batches, 2):
+            if first:
+                union = own
+                continue
+            overlap = len(places(union, own))
+            found.append((group, key, overlap, of * overlap >= share * len(own)))
+            if len(found) == 4096:
+                yield out()
+                found = []
+        if found:
+            yield out()
+
+    return rows.repartition("group", "salt").sortWithinPartitions("group", "salt", F.desc("first")).mapInArrow(bounded, "group long, id long, overlap long, qualifies boolean")
+
+
+def _opened(queries: DataFrame, members: DataFrame, documents: DataFrame, n: int, share: int, of: int) -> DataFrame:
+    """(a, b): links of queries (group, id) with members (group, id) of the groups that are opened."""
+    salts = _salts(queries)
+    wanted = members.select("group", "id", F.lit(True).alias("first")).unionByName(queries.select("group", "id", F.lit(False).alias("first")))
+    rows = _salted(_sets(documents, wanted.join(salts, "group"), n)).select("group", "salt", "first", "id", "set")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, share: int = 85, of: int = 100, chunk_tokens: int = 1 << 20, counters: int = 1024, batch_tokens: int = 1 << 21) -> DataFrame:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, group, found = [], [], None, []
+        for new, _, (first, key), own in _runs(batches, 2):
+            if new:
+                ids, sets, group = [], [], None
+            if first:
+                ids.append(key)
+                sets.append(own)
+                continue
+            if group is None:
+                group, component = Group(ids, sets, share, of), np.arange(len(ids))
+            for k, m in enumerate(at := np.flatnonzero(group.linked(own))):
+                if k == 0 or component[m] != component[at[0]]:  # as many links as it takes to connect all
+                    component[component == component[m]] = component[at[0]]
+                    found.append((key, int(group.ids[m])))
+            if len(found) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+
+    return rows.repartition("group", "salt").sortWithinPartitions("group", "salt", F.desc("first"), "id").mapInArrow(links, "a long, b long")
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, share: int = 85, of: int = 100, group_tokens: int = 1 << 18, counters: int = 1024, batch_tokens: int = 1 << 21, seen: dict | None = None) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id (the least id reachable by links). Two documents link when
-    of * |intersection| >= share * |union| of their shingle sets."""
-    own = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    of * |intersection| >= share * |union| of their shingle sets. ``seen``, if given, is told how many queries asked and qualified."""
+    own = df.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
     sets = with_shingles(own, F.col("text"), n, "set").select("id", F.sort_array("set").alias("set"))
     sets = sets.select("id", "set", F.xxhash64("set").alias("a"), F.xxhash64(F.lit(1), "set").alias("b"))
     keys = staged(sets.select("id", F.size("set").cast("long").alias("n_shingles"), "a", "b"), "sets")
     filled = keys.filter("n_shingles > 0")
     classes = staged(filled.groupBy("a", "b").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")), "classes")
-    rows, largest = filled.count(), classes.agg(F.coalesce(F.max("size"), F.lit(1))).first()[0]
+    rows, largest = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
     ranges = Ranges(share, of, largest)
     # Of classes with very many copies, one row is left; at most ``counters`` such classes are broadcast.
     heavy = classes.filter(F.col("copies") > max(1, rows / (counters + 1))).join(F.broadcast(frequent(filled, "a", counters).select(F.col("key").alias("a"))), "a", "left_semi")
-    heavy = F.broadcast(staged(heavy.groupBy("a").agg(F.min("rep").alias("only"), F.count(F.lit(1)).alias("n")).filter("n = 1 AND only IS NOT NULL").select("a", "only"), "heavy"))
-    single = sets.join(heavy, "a", "left").filter("only IS NULL OR id = only")
+    heavy = staged(heavy.groupBy("a").agg(F.min("rep").alias("only"), F.count(F.lit(1)).alias("n")).filter("n = 1 AND only IS NOT NULL").select("a", "only"), "heavy")
+    single = sets.join(F.broadcast(heavy), "a", "left").filter("only IS NULL OR id = only")
     # Signatures that two classes or more share, with all their classes.
     each = Window.partitionBy("key")
     lists = _lists(single, ranges, batch_tokens).withColumns({"low": F.min("a").over(each), "high": F.max("a").over(each), "some": F.max("many").over(each)})
-    shared = staged(lists.filter("many OR some OR low <> high").select("sig", "a", "least"), "shared")
-    shared = staged(shared.join(classes.filter("rep IS NOT NULL").select("a", "rep"), "a").select("sig", F.col("rep").alias("id"), "least").distinct(), "lists")
+    several = staged(lists.filter("many OR some OR low <> high").select("sig", "a", "least"), "several")
+    named = several.join(classes.filter("rep IS NOT NULL").select("a", "rep"), "a").select("sig", F.col("rep").alias("id"), "least").distinct()
+    # A document that links shares ``least`` signatures of some range with the other one.
     enough = F.col("n") >= F.col("least") % (1 << 20)
-    # Groups: each document is tried with the centre that it shares most signatures with, and with the least one.
+    listed = staged(named, "listed")
+    fit = listed.groupBy("id", "least").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("id", "least")
+    shared = staged(listed.join(fit, ["id", "least"], "left_semi"), "shared")
+    discard(heavy, several, listed)
+    # Groups: each document lies with the centre that it shares most signatures with.
     centres = shared.groupBy("sig").agg(F.min("id").alias("centre"))
-    met = staged(shared.join(centres, "sig").filter("id <> centre").groupBy("id", "centre", "least").agg(F.count(F.lit(1)).alias("n")), "met")
-    most = F.max_by("centre", F.struct("n", -F.col("centre")))
-    tries = met.filter(enough).groupBy("id").agg(F.array_distinct(F.array(most, F.min("centre"))).alias("centres"))
-    tries = staged(tries.select("id", F.explode("centres").alias("chunk"), F.lit(False).alias("member")), "tries")
-    members = tries.select(F.col("chunk").alias("id"), "chunk", F.lit(True).alias("member")).distinct()
-    wanted = tries.unionByName(members).withColumn("group", F.col("id"))
-    links = _verified(own, wanted, n, share, of)
-    groups = staged(components(links), "groups")
-    # The matrix: documents that share signatures, linked or not, are similar and lie together, in chunks. A query asks
-    # the chunks that hold enough of its signatures, in documents of other groups than its own.
-    alike = components(tries, "id", "chunk").select("id", F.col("component").alias("cluster"))
-    nearest = met.groupBy("id").agg(most.alias("nearest")).join(alike.select(F.col("id").alias("nearest"), F.col("cluster").alias("beside")), "nearest", "left")
-    placed = shared.select("id").distinct().join(groups, "id", "left").join(alike, "id", "left").join(nearest, "id", "left")
-    placed = placed.select("id", F.coalesce("component", "id").alias("group"), F.coalesce("cluster", "beside", "nearest", "id").alias("cluster"))
-    placed = placed.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size")), "id")
-    loads = placed.groupBy("cluster").agg(F.ceil(F.sum("size") / chunk_tokens).alias("chunks"))
-    placed = placed.join(loads, "cluster").select("id", "group", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), "chunks")).alias("chunk"))
-    placed = staged(shared.join(placed, "id"), "placed")
-    across = placed.groupBy("sig", F.col("chunk").alias("asked")).agg(F.min("group").alias("low"), F.max("group").alias("high"))
-    asking = placed.join(across, "sig").filter("asked >= chunk AND NOT (low = high AND low = group)")
-    queries = asking.groupBy("id", "group", "asked", "least").agg(F.count(F.lit(1)).alias("n")).filter(enough)
-    queries = staged(queries.select("id", "group", F.col("asked").alias("chunk"), F.lit(False).alias("member")).distinct(), "queries")
+    met = shared.join(centres, "sig").filter("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("n"))
+    nearest = met.groupBy("id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("cluster"))
+    sizes = classes.filter("rep IS NOT NULL").groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size"))
+    placed = staged(shared.select("id").distinct().join(nearest, "id", "left").join(sizes, "id").select("id", F.coalesce("cluster", "id").alias("cluster"), F.greatest("size", F.lit(ROW_TOKENS)).alias("load")), "clusters")
+    loads = placed.groupBy("cluster").agg(F.ceil(F.sum("load") / group_tokens).alias("parts"))
+    members = staged(placed.join(loads, "cluster").select("id", "cluster", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), "parts")).alias("group")), "members")
+    discard(placed)
+    # The matrix; a centre's copies in other groups than its own are there for their links alone.
+    wanted = members.select("id", "group").unionByName(members.select(F.col("cluster").alias("id"), "group")).distinct()
+    built = _sets(own, wanted, n).select("group", "id", "set").repartition("group").sortWithinPartitions("group", "id")
+    matrix = staged(_matrix(built, share, of), "matrix")
+    links = matrix.filter("a IS NOT NULL").select("a", "b")
+    linked = staged(components(links), "linked")
+    # Queries: groups that hold enough of a document's signatures, in documents of other components.
+    known = shared.join(members.select("id", "group"), "id").join(linked, "id", "left").select("sig", "id", "least", "group", F.coalesce("component", "id").alias("component"))
+    known = staged(known, "known")
+    apart = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
+    apart = staged(known.join(apart, "sig", "left_semi"), "apart")
+    across = apart.groupBy("sig", F.col("group").alias("asked")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    asking = apart.join(across, "sig").filter("asked > group AND NOT (low = high AND low = component)")
+    queries = asking.groupBy("id", "asked", "least").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("id", F.col("asked").alias("group")).distinct()
+    queries = staged(queries, "queries")
+    discard(known, apart, shared)
+    tables = [linked, queries]
     if not queries.isEmpty():
-        members = placed.select("id", "group", "chunk").distinct().join(queries.select("chunk").distinct(), "chunk", "left_semi").select("id", "group", "chunk", F.lit(True).alias("member"))
-        more = _verified(own, queries.unionByName(members), n, share, of)
-        groups = staged(components(links.unionByName(more)), "groups")
-    named = classes.join(groups, F.col("rep") == F.col("id"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
-    return keys.join(named, ["a", "b"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        bounds = staged(qualifying(queries, _sets(own, queries, n), matrix, share, of), "bounds")
+        opening = bounds.filter("qualifies").select("group", "id")
+        if seen is not None:
+            seen |= {"asked": bounds.count(), "qualified": opening.count()}
+        more = staged(_opened(opening, members.join(opening.select("group").distinct(), "group", "left_semi").select("group", "id"), own, n, share, of), "more")
+        linked = staged(components(links.unionByName(more)), "linked")
+        tables += [bounds, more]
+    classed = classes.join(linked, F.col("rep") == F.col("id"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
+    found = staged(keys.join(classed, ["a", "b"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")), "similar")
+    discard(matrix, members, keys, classes, *({*tables, linked}))
+    return found.select(col("id").alias(id_col), "n_shingles", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of df whose id names their component: one document of each group of linked ones."""
-    found = similar(df, id_col=id_col, **how)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    """The rows of df, with all their columns, whose id names their component: one document of each group of linked ones."""
+    found = similar(df.select(col(id_col).alias("id"), col(how.pop("text_col", "text")).alias("text")), "id", **how)
+    gone = found.filter("id <> component_id").select(F.col("id").alias("gone")).distinct()
+    rows = df.select(row_of(df).alias("row"), col(id_col).alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

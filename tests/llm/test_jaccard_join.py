@@ -84,12 +84,45 @@ def texts(seed=3):
 def test_against_brute_force(spark):
     rows = list(texts())
     df = spark.createDataFrame([(*r, "a", 1, "g") for r in rows], "doc_id long, text string, a string, id int, set string").repartition(6)
-    found = {tuple(x) for x in jaccard_join.similar(df, chunk_tokens=300, counters=3, batch_tokens=3000).collect()}
+    found = {tuple(x) for x in jaccard_join.similar(df, group_tokens=5000, counters=3, batch_tokens=3000).collect()}
     assert found == brute_force(rows)
     left = jaccard_join.one_of_each(df, n=5, share=80, of=100)
     assert left.columns == df.columns and {x.doc_id for x in left.collect()} == {c for _, _, c in brute_force(rows, 5, 80, 100)}
 
 
+def test_queries_are_bounded_by_the_matrix_before_groups_are_opened(spark):
+    """Documents that share some signatures with other groups: most are turned away by the stored unions, and none asks its own group."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(12):
+        passage = [word() for _ in range(60)]
+        for _ in range(12):
+            base = passage + [word() for _ in range(rng.choice((3, 14, 18)))]
+            rows += [" ".join(base), " ".join([*base[:-1], word()])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    seen = {}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {tuple(x) for x in jaccard_join.similar(df, group_tokens=3000, seen=seen).collect()}
+    assert found == brute_force(rows)
+    assert 0 < seen["qualified"] < seen["asked"]
+
+
+def test_a_groups_members_are_bounded_by_the_union_of_the_others():
+    a, b, c = np.arange(100), np.arange(3, 100), np.concatenate([np.arange(40), np.arange(1000, 1060)])
+    group = jaccard_join.Group([7, 8, 9], [a, b, c], 85, 100)
+    assert group.links([a, b, c]) == [(7, 8)] and group.counted == 2  # c is turned away by the bound
+    assert list(group.union) == sorted({*a, *b, *c}) and len(jaccard_join.places(group.union, np.array([5, 500, 1001]))) == 2
+
+
+def test_one_of_each_carries_columns_of_any_name(spark):
+    names = ["doc_id", "text", "gone", "a.b", "component_id", "row"]
+    df = spark.createDataFrame([(k, f"one two three four five {k // 2}", k, k, k, k) for k in range(6)], names)
+    left = jaccard_join.one_of_each(df)
+    assert left.columns == names and sorted(map(tuple, left.collect())) == [(k, f"one two three four five {k // 2}", k, k, k, k) for k in (0, 2, 4)]
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.similar(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
