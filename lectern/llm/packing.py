@@ -2,11 +2,13 @@
 
 Each task tokenises its documents, cuts overlong ones into full windows, and places the remaining pieces, longest first, into
 the open window with the least room that still holds them. The room of open windows is the index of a segment tree, so a
-window is found in a number of steps that is the tree's height. A task packs ``group_tokens`` tokens at a time, which bounds its memory;
-nothing is shuffled, and a task that runs again after a loss makes the same sequences.
+window is found in a number of steps that is the tree's height. A task packs ``group_tokens`` tokens at a time, which bounds its memory.
+Its windows that are filled to ``enough`` are settled. The pieces of the others, of which there are few unless tasks are small, are written to the shared
+folder too, dealt anew into groups of about ``group_tokens`` tokens, however many tasks they come from, and packed once more. So padding does
+not depend on how the documents are partitioned.
 
 Defined cases: null and empty texts are the end id alone; equal lengths keep their order; repeated rows are packed as often as
-they come; a document of any length is cut as it is; an empty table gives an empty result; other columns are not read.
+they come; a document of any length is cut as it is; a null id is carried; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import text_of
+from lectern.llm.common import col, staged, text_of
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -129,13 +131,24 @@ def tokenizer(path: str) -> Tokenizer:
     return _TOKENIZERS[path]
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, group_tokens: int = 1 << 23) -> DataFrame:
+NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+SCHEMA = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in NAMES])
+#: Sequences of the second round are told apart by this bit.
+AGAIN = 1 << 61
+
+
+def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 4096):
+        some = rows[at : at + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, group_tokens: int = 1 << 22, enough: float = 0.99) -> DataFrame:
     """One row per piece: the document's id, start (its ids before the piece), length, ids (little-endian, 32 bits each),
     doc_tokens (with the end id), sequence_id (unique) and offset (in the sequence). tokenizer_path is that of a file that
     every worker has."""
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names])
     end = np.array([end_id], "<u4").tobytes()
+    first_schema = SCHEMA.append(pa.field("settled", pa.bool_()))
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -149,11 +162,11 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             nonlocal first, size
             lengths = [len(x) // 4 for x in texts]
             pieces = pack(lengths, window)
-            for at in range(0, len(pieces), 4096):
-                some = pieces[at : at + 4096]
-                columns = [[keys[k] for k, *_ in some], [x[1] for x in some], [x[2] for x in some], [texts[k][4 * s : 4 * (s + n)] for k, s, n, *_ in some], [lengths[k] for k, *_ in some], [first + x[3] for x in some], [x[4] for x in some]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-            first += max((x[3] for x in pieces), default=-1) + 1
+            used = [0] * (1 + max((x[3] for x in pieces), default=-1))
+            for _, _, n, at, _ in pieces:
+                used[at] += n
+            yield from _batches([(keys[k], s, n, texts[k][4 * s : 4 * (s + n)], lengths[k], first + at, offset, used[at] >= enough * window) for k, s, n, at, offset in pieces], first_schema)
+            first += len(used)
             keys.clear()
             texts.clear()
             size = 0
@@ -167,4 +180,30 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     yield from packed()
         yield from packed()
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(sequences, PIECES)
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, group, held = AGAIN + (TaskContext.get().partitionId() << 32), None, []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal first
+            pieces = pack([x[2] for x in held], window)
+            yield from _batches([(*held[k][:5], first + at, offset) for k, _, _, at, offset in pieces], SCHEMA)
+            first += 1 + max((x[3] for x in pieces), default=-1)
+            held.clear()
+
+        for batch in batches:
+            for at, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != group:
+                    yield from packed()
+                    group = at
+                held.append(row)
+        yield from packed()
+
+    own = df.select(col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    made = staged(own.mapInArrow(sequences, f"{PIECES}, settled boolean"), "pieces")
+    rest = made.filter("NOT settled")
+    tokens = rest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    group = F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(max(1, -(-tokens // group_tokens))))
+    dealt = rest.withColumn("group", group).repartition("group").sortWithinPartitions("group", "sequence_id", "offset")
+    return made.filter("settled").select(*NAMES).unionByName(dealt.select("group", *NAMES[:5]).mapInArrow(again, PIECES))

@@ -56,7 +56,6 @@ def test_best_fit_takes_the_tightest_window(lengths, window):
 @given(st.text(max_size=60))
 def test_ids_are_those_of_the_tokenizer(text):
     own, theirs = packing.tokenizer(tokenizer_path()), hugging_face()
-    theirs.encode_special_tokens = True
     assert np.frombuffer(own.ids(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
@@ -89,22 +88,29 @@ def test_edges(spark, texts):
         assert all((x.length, x.start, bytes(x.ids)) == (1, 0, b"\1\0\0\0") for x in rows)
 
 
-@cache
-def by_default():
-    """Apart from the one above, whose setting a test changes."""
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(tokenizer_path())
-
-
 @settings(deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "'s", "é", "12", "!"]), max_size=12))
 def test_added_tokens_are_those_of_the_tokenizer(parts):
     text = "<|endoftext|>".join(["".join(parts), "a "])
-    own, theirs = packing.tokenizer(tokenizer_path()), by_default()
+    own, theirs = packing.tokenizer(tokenizer_path()), hugging_face()
     assert np.frombuffer(own.ids(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("partitions", [1, 32, 211])
+def test_padding_does_not_depend_on_partitions(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions)
+    rows = packing.pack_documents(docs, tokenizer_path()).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset").collect()
+    held, whole = defaultdict(list), defaultdict(list)
+    for x in rows:
+        held[x.sequence_id].append((x.offset, x.length))
+        whole[x.doc_id, x.doc_tokens].append((x.start, x.length))
+    for at in [*held.values(), *whole.values()]:
+        at.sort()
+        assert at[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(at, at[1:], strict=False))
+    assert all(sum(at[-1]) <= 2048 for at in held.values()) and all(sum(at[-1]) == n for (_, n), at in whole.items()) and len(whole) == 1000
+    assert sum(x.length for x in rows) >= 0.97 * 2048 * len(held)
+
+
 def test_packed_ids_of_an_added_token(spark):
     df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
     row = packing.pack_documents(df, tokenizer_path()).first()
