@@ -64,6 +64,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed to 95 % of the greatest entropy, from whichever side, with none repeated more than twice."""
     decided, _ = mixing.plan(table(spark, sf_dir, "documents"), entropy_share=0.95, repeats=2.0)
     return decided.select(F.col("id").alias("doc_id"), "source", "n_tokens", "block", F.round("weight", 6).alias("weight"), "copies")
 
@@ -172,55 +173,64 @@ FROM newest
 """,
     "op9_mixing": f"""
 WITH RECURSIVE own AS (
-    SELECT doc_id, source, len(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')) AS n_tokens, md5(CAST(doc_id AS VARCHAR)) AS rank
+    SELECT doc_id, source, text, len(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')) AS n_tokens, md5(CAST(doc_id AS VARCHAR)) AS rank
     FROM documents
 ),
-placed AS (SELECT *, CAST('0x' || substr(rank, 1, 8) AS BIGINT) % 256 AS block FROM own),
-sums AS (SELECT source, block, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM placed GROUP BY ALL),
-sources AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM sums GROUP BY source),
+placed AS (SELECT *, CAST('0x' || substr(rank, 1, 8) AS BIGINT) % 4096 AS block FROM own),
+sources AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM own GROUP BY source),
 lists AS (
     SELECT list(tokens ORDER BY source) AS ts, CAST(sum(tokens) AS DOUBLE) AS total,
            list(tokens / (SELECT sum(tokens) FROM sources) ORDER BY source) AS shares FROM sources
 ),
-first AS (
-    SELECT 0 AS step, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high FROM lists
+-- the least exponent with at most the target entropy
+target AS (
+    SELECT 0 AS step, CAST(0 AS DOUBLE) AS low, CAST(64 AS DOUBLE) AS high FROM lists
     UNION ALL
-    SELECT step + 1, CASE WHEN e <= 0.95 * ln(len(shares)) THEN low ELSE m END, CASE WHEN e <= 0.95 * ln(len(shares)) THEN m ELSE high END
+    SELECT step + 1, CASE WHEN e <= 0.95 * ln(len(shares)) + 1e-12 THEN low ELSE m END, CASE WHEN e <= 0.95 * ln(len(shares)) + 1e-12 THEN m ELSE high END
     FROM (
         SELECT f.*, shares, (low + high) / 2 AS m, list_transform(shares, lambda s: exp((low + high) / 2 * ln(s))) AS r,
                -list_sum(list_transform(r, lambda x: x / list_sum(r) * ln(x / list_sum(r)))) AS e
-        FROM first AS f, lists
-    ) WHERE step < 60
+        FROM target AS f, lists
+    ) WHERE step < 70
 ),
-second AS (
+-- the least and the greatest exponent with which no source is repeated more than twice
+least AS (
     SELECT 0 AS step, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high FROM lists
     UNION ALL
-    SELECT step + 1, CASE WHEN e <= 0 THEN low ELSE m END, CASE WHEN e <= 0 THEN m ELSE high END
+    SELECT step + 1, CASE WHEN e <= 2.0 THEN low ELSE m END, CASE WHEN e <= 2.0 THEN m ELSE high END
     FROM (
         SELECT f.*, (low + high) / 2 AS m, list_transform(shares, lambda s: exp((low + high) / 2 * ln(s))) AS r,
-               list_max(list_transform(range(1, len(r) + 1), lambda i: r[i] / list_sum(r) * total - 2.0 * ts[i])) AS e
-        FROM second AS f, lists
+               list_max(list_transform(range(1, len(r) + 1), lambda i: r[i] / list_sum(r) * total / ts[i])) AS e
+        FROM least AS f, lists
     ) WHERE step < 60
 ),
+greatest_one AS (
+    SELECT 0 AS step, CAST(1 AS DOUBLE) AS low, CAST(64 AS DOUBLE) AS high FROM lists
+    UNION ALL
+    SELECT step + 1, CASE WHEN e <= 2.0 THEN m ELSE low END, CASE WHEN e <= 2.0 THEN high ELSE m END
+    FROM (
+        SELECT f.*, (low + high) / 2 AS m, list_transform(shares, lambda s: exp((low + high) / 2 * ln(s))) AS r,
+               list_max(list_transform(range(1, len(r) + 1), lambda i: r[i] / list_sum(r) * total / ts[i])) AS e
+        FROM greatest_one AS f, lists
+    ) WHERE step < 70
+),
 found AS (
-    SELECT greatest(
-        (SELECT CASE WHEN -list_sum(list_transform(shares, lambda s: s * ln(s))) >= 0.95 * ln(len(shares)) THEN 1.0 ELSE (SELECT high FROM first WHERE step = 60) END FROM lists),
-        (SELECT CASE WHEN list_max(list_transform(ts, lambda t: total / len(ts) - 2.0 * t)) <= 0 THEN 0.0 ELSE (SELECT high FROM second WHERE step = 60) END FROM lists)
-    ) AS x
+    SELECT least((SELECT low FROM greatest_one WHERE step = 70), greatest(
+        (SELECT high FROM target WHERE step = 70),
+        (SELECT CASE WHEN list_max(list_transform(ts, lambda t: total / len(ts) / t)) <= 2.0 THEN 0.0 ELSE (SELECT high FROM least WHERE step = 60) END FROM lists)
+    )) AS x
 ),
 weights AS (
     SELECT source, tokens, exp(x * ln(tokens / total)) / list_sum(list_transform(shares, lambda s: exp(x * ln(s)))) AS weight, total FROM sources, lists, found
 ),
 asked AS (SELECT source, weight, CAST(round(weight * total) AS BIGINT) // tokens AS epochs, CAST(round(weight * total) AS BIGINT) % tokens AS rest FROM weights),
-ends AS (
-    SELECT source, block, tokens, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY md5(source || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sums
-),
 ordered AS (
-    SELECT p.*, a.weight, a.epochs, a.rest, e.before, e.tokens, sum(n_tokens) OVER (PARTITION BY p.source, p.block ORDER BY rank, md5(CAST(doc_id AS VARCHAR)) ROWS UNBOUNDED PRECEDING) AS upto
-    FROM placed AS p JOIN asked AS a ON a.source = p.source JOIN ends AS e ON e.source = p.source AND e.block = p.block
+    SELECT p.*, a.weight, a.epochs, a.rest, sum(n_tokens) OVER (
+        PARTITION BY p.source ORDER BY md5(p.source || '|' || block), block, rank, md5(coalesce(text, '')) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW
+    ) AS upto
+    FROM placed AS p JOIN asked AS a ON a.source = p.source
 )
-SELECT doc_id, source, n_tokens, block, round(weight, 6) AS weight,
-       epochs + CASE WHEN rest = 0 THEN 0 WHEN before + tokens <= rest THEN 1 WHEN before >= rest THEN 0 WHEN before + upto <= rest THEN 1 ELSE 0 END AS copies
+SELECT doc_id, source, n_tokens, block, round(weight, 6) AS weight, epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies
 FROM ordered
 """,
     "op10_license_scan": license_sql(),
