@@ -6,11 +6,15 @@ lengths, make the document's share of good text, which a logistic curve turns in
 shuffled, and a text is taken whole.
 
 The field is fitted on the driver, on a bounded sample of labelled rows: ``sample`` of those allowed for learning, the first by the
-MD5 of their id, and of each all lines. A line's label in the sample is that of its document.
+MD5 of their id, and of each all lines. Only documents are labelled, so the labels of lines are latent: they begin as their document's, and
+are then learnt by expectation-maximisation. The expected labels, and pairs of neighbouring labels, are those of the field itself, given the
+document's label (``GOOD``, ``BAD``); so a good line of a bad document is learnt as good, and chains are mixed. A bad document of which too little
+would be bad (``LEAST_BAD``) keeps its label for all lines.
 
 Defined cases: a null text counts as empty, an empty text is one empty line; rows are scored one by one, so repeated ids and rows
-are no matter; labels that are null or of documents that are missing are not used; without any usable label every score is 0.5;
-an empty table gives an empty result; columns other than the id, the text and the label are not read.
+are no matter; labels that are null, other than 0 and 1, contradicted by another of the same id, or of documents that are missing are not
+used; without any usable label every score is 0.5; an empty table gives an empty result; columns other than the id, the text and the
+label are not read, or carried in a struct whatever their names (``keep_good``).
 """
 
 from __future__ import annotations
@@ -24,11 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import text_of
+from lectern.llm.common import col, row_of, text_of
 
 #: Where bins part, finer at both ends, as junk is rare.
 QUANTILES = (0.01, 0.04, 0.11, 0.22, 0.33, 0.44, 0.56, 0.67, 0.78, 0.89, 0.96, 0.99)
 N_FEATURES = 16
+#: Log-odds that are added to what the field says of a line being good, in a good document and in a bad one: there, to make up for having been
+#: learnt as bad at first.
+GOOD, BAD = 3.0, 1.0
+#: The least share of a bad document that is taken to be bad.
+LEAST_BAD = 0.2
+#: After which share of the rounds of learning the lines' expected labels are found, and found again. Until the first, only a line's own
+#: features are learnt from, as those of its neighbours would tell all lines of a bad document.
+EXPECT = (0.3, 0.45, 0.6, 0.75, 0.9)
 #: Bytes of lines that are described at once.
 BLOCK = 1 << 20
 
@@ -150,9 +162,10 @@ class Field:
         step = N_FEATURES * self.width
         return np.concatenate([own + base, before + base + step, after + base + 2 * step], 1)
 
-    def marginals(self, cells: np.ndarray, n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(good) of each line by forward-backward, and the expected number of each pair of neighbouring labels."""
-        score = self.weights[cells].sum(1)
+    def marginals(self, cells: np.ndarray, n_lines: np.ndarray, prior: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """P(good) of each line by forward-backward, and the expected number of each pair of neighbouring labels. prior: log-odds that are
+        known of each line besides."""
+        score = self.weights[cells].sum(1) + prior
         order = np.argsort(-n_lines, kind="stable")
         starts = (np.cumsum(n_lines) - n_lines)[order]
         sizes = n_lines[order]
@@ -189,20 +202,28 @@ class Field:
 
 
 def fit(table: np.ndarray, lengths: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Fits the field by Adam on the likelihood of the lines' labels, then the curve by Newton steps on the documents'."""
+    """Fits the field by Adam on the likelihood of the lines' latent labels, then the curve by Newton steps on the documents'."""
     field = Field(np.stack([np.quantile(table[:, f], QUANTILES) for f in range(N_FEATURES)]))
-    cells, truth = field.cells(table, n_lines), np.repeat(labels, n_lines)
+    cells, truth = field.cells(table, n_lines), np.repeat(labels, n_lines).astype(float)
+    prior = np.where(truth > 0, GOOD, BAD)
     starts = np.cumsum(n_lines) - n_lines
     inner = np.setdiff1d(np.arange(len(truth)), starts)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (truth[inner - 1], truth[inner]), 1)
+    np.add.at(seen, (truth[inner - 1].astype(int), truth[inner].astype(int)), 1)
     theta = np.zeros(len(field.weights) + 4)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         field.weights, field.pairs = theta[:-4], theta[-4:].reshape(2, 2)
+        if k in {1 + int(x * rounds) for x in EXPECT}:
+            truth, seen = field.marginals(cells, n_lines, prior)
+            good = np.add.reduceat(truth * lengths, starts) / np.add.reduceat(lengths, starts)
+            kept = np.where(np.repeat((labels == 0) & (good > 1 - LEAST_BAD), n_lines), -50.0, prior)
+            truth, seen = field.marginals(cells, n_lines, kept)
         good, pairs = field.marginals(cells, n_lines)
         slope = np.bincount(cells.ravel(), np.repeat(truth - good, cells.shape[1]), minlength=len(field.weights))
         grad = np.concatenate([slope, (seen - pairs).ravel()]) / len(truth) - decay * theta
+        if k <= EXPECT[0] * rounds:
+            grad[N_FEATURES * field.width :] = 0
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         theta = theta + rate * (1 - k / (rounds + 1)) * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-8)
     field.weights, field.pairs = theta[:-4], theta[-4:].reshape(2, 2)
@@ -221,10 +242,11 @@ def held_out(id_col: Column) -> Column:
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000) -> Field | None:
     """The field learnt from the labelled rows that may be learnt from; None without any."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
-    chosen = chosen.dropDuplicates(["id"]).orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sample)
+    chosen = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    chosen = chosen.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).filter("label = high").drop("high")
+    chosen = chosen.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sample)
     # At most ``sample`` rows of two numbers are broadcast.
-    rows = documents.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = documents.select(col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
     schema = pa.schema([("label", pa.int32()), ("table", pa.binary()), ("lengths", pa.binary())])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,15 +254,15 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             made = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 table, lengths, _ = features([text])
-                made.append({"label": label, "table": table.astype("<f4").tobytes(), "lengths": lengths.astype("<f4").tobytes()})
+                made.append({"label": label, "table": table.astype("<f8").tobytes(), "lengths": lengths.astype("<f8").tobytes()})
             yield pa.RecordBatch.from_pylist(made, schema=schema)
 
     found = rows.select("text", "label").mapInArrow(describe, "label int, table binary, lengths binary").collect()
     if not found:
         return None
     found.sort(key=lambda x: (x.label, bytes(x.table)))  # in one order, whatever the partitions
-    table = np.concatenate([np.frombuffer(x.table, "<f4").reshape(-1, N_FEATURES) for x in found]).astype(float)
-    lengths = [np.frombuffer(x.lengths, "<f4").astype(float) for x in found]
+    table = np.concatenate([np.frombuffer(x.table, "<f8").reshape(-1, N_FEATURES) for x in found])
+    lengths = [np.frombuffer(x.lengths, "<f8") for x in found]
     return fit(table, np.concatenate(lengths), np.array([len(x) for x in lengths]), np.array([x.label for x in found]))
 
 
@@ -268,12 +290,12 @@ def _scored(field: Field | None, spark, text: Column) -> Column:
 
 def score(documents: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of documents: its id and score, 0 to 1, higher where label 1 is likelier."""
-    return documents.select(id_col, _scored(field, documents.sparkSession, text_of(text_col)).alias("score"))
+    return documents.select(col(id_col), _scored(field, documents.sparkSession, text_of(text_col)).alias("score"))
 
 
 def keep_good(documents: DataFrame, field: Field | None, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of documents, with their columns, that score ``least`` or more; all of them where nothing could be learnt."""
     if field is None:
         return documents
-    rows = documents.select(F.struct(*documents.columns).alias("row"), _scored(field, documents.sparkSession, text_of(text_col)).alias("score"))
+    rows = documents.select(row_of(documents).alias("row"), _scored(field, documents.sparkSession, text_of(text_col)).alias("score"))
     return rows.filter(F.col("score") >= least).select("row.*")
