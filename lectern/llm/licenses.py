@@ -1,8 +1,8 @@
 """Licence scans by canonical digest, with built-in functions only.
 
 A text is made canonical: A-Z in lower case, copyright lines removed, punctuation turned to spaces, white space collapsed,
-equivalent spellings made one. The SHA-256 of the whole canonical text is looked up among the digests of known licences; so
-is each of its lines among the digests of known one-line notices. The known texts are a fixed table of this module (or one
+equivalent spellings made one. The SHA-256 of the whole canonical text is joined with the digests of known licences, each with and without
+the titles that it goes by; each of its lines is looked up among the digests of known one-line notices. The known texts are a fixed table of this module (or one
 that the caller gives), which bounds what is broadcast.
 
 Defined cases: null and empty texts, and texts that are nothing but copyright lines, have an empty canonical text, which is no
@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, UPPER, text_of
+from lectern.llm.common import LOWER, UPPER, col, text_of
 
 # The texts of common licences, copyright lines left out, and the notices that name a licence in one line.
 LICENCES = {
@@ -53,6 +53,16 @@ Unless required by applicable law or agreed to in writing, software distributed
 }
 # Longer texts lie in files, as they are published.
 LICENCES |= {x.stem: x.read_text(encoding="utf-8") for x in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+# The titles that stand above a licence's text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT Licence", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License", "Modified BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0"],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
@@ -75,7 +85,7 @@ SPELLINGS = {
 PUNCTUATION = "[!-/:-@\\[-`{-~‐-―‘-‟]"
 BLANKS = "[ \\t\\x0B\\f\\r]+"
 #: A line, without punctuation, that states who holds the copyright and since when.
-COPYRIGHT = "(?m)^ ?(?:copyright (?:c |by |year |yyyy |[0-9]{4})[^\\n]*|(?:copyright )?©[^\\n]*|c [0-9]{4}[^\\n]*|all rights reserved) ?$"
+COPYRIGHT = "(?m)^ ?(?:(?:portions )?copyright (?:c |by |year |yyyy |[^\\n]*[0-9]{4})[^\\n]*|(?:copyright )?©[^\\n]*|c [0-9]{4}[^\\n]*|all rights reserved) ?$"
 
 
 def canonical(text: Column) -> Column:
@@ -91,6 +101,11 @@ def whole(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, "[ \\n]+", " "))
 
 
+def titled(licences: dict[str, str], titles: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Each licence's text, by itself and under each of its titles."""
+    return {k: [x, *(f"{t}\n{x}" for t in titles.get(k, []))] for k, x in licences.items()}
+
+
 def known(spark, texts: dict[str, list[str]]) -> DataFrame:
     """(digest, licence, n_chars): the digests of the canonical known texts. Of licences with the same text, the first by
     name counts."""
@@ -102,7 +117,7 @@ def known(spark, texts: dict[str, list[str]]) -> DataFrame:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: dict[str, list[str]] | None = None, notices: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per row of df: its id, canonical_sha256, licence (of the whole text, or null), notices (the licences that
     its lines name, sorted, or null) and n_notices (how many lines do)."""
-    licences = {k: [v] for k, v in LICENCES.items()} if licences is None else licences
+    licences = titled(LICENCES, TITLES) if licences is None else licences
     notices = NOTICES if notices is None else notices
     both = {k: [*licences.get(k, []), *notices.get(k, [])] for k in {**licences, **notices}}
     # The known texts are a fixed table, so the size of what is broadcast, and of the map below, is known.
@@ -110,7 +125,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences
     lines = known(df.sparkSession, notices).orderBy("digest").collect()
     named = F.create_map(*(F.lit(x) for row in lines for x in (row.digest, row.licence)))
     longest = max((row.n_chars for row in lines), default=0) + 2
-    own = df.select(F.col(id_col).alias("id"), canonical(text_of(text_col)).alias("lines"))
+    own = df.select(col(id_col).alias("id"), canonical(text_of(text_col)).alias("lines"))
     own = own.select(
         "id",
         F.sha2(whole(F.col("lines")), 256).alias("digest"),

@@ -18,6 +18,23 @@ def test_variants_of_a_licence_are_one(spark):
     assert rows[5].canonical_sha256 == rows[6].canonical_sha256 == rows[7].canonical_sha256
 
 
+def test_titles_and_copyright_lines(spark):
+    heads = ["MIT License\n\nCopyright (c) 2020 Some One\n\n", "The MIT License (MIT)\n", "Copyright Foo Bar 2020\n", "Portions Copyright 1999, 2001 by A B\nCopyright © 2003\n", "MIT Licence\nCopyright <YEAR> <COPYRIGHT HOLDER>\n"]
+    other = ["GPL License\n", "MIT License or so\n", "Copyright law applies\n"]
+    df = spark.createDataFrame([(k, x + licenses.LICENCES["MIT"]) for k, x in enumerate(heads + other)], "doc_id long, text string")
+    found = {x.doc_id: x.licence for x in licenses.scan(df).collect()}
+    assert [found[k] for k in range(8)] == ["MIT"] * 5 + [None] * 3
+
+
+def test_the_query_finds_whole_texts(spark):
+    from lectern.llm.queries import license_files, op10_license_scan
+
+    rows = {x.doc_id: x.licence for x in op10_license_scan(spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == 200 + len(license_files())
+    for k, x in license_files():
+        assert (rows[k] is None) == x.endswith("with one more condition"), x[:100]
+
+
 def test_notices_and_repeats(spark):
     df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny\nReleased under the MIT licence\nLicensed under CC BY-NC 4.0."), (2, "released under the MIT License"), (2, "released under the MIT License"), (3, "It is released under the MIT License.")], "doc_id long, text string")
     rows = sorted((x.doc_id, x.licence or "", x.notices or "", x.n_notices) for x in licenses.scan(df).collect())
