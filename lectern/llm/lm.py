@@ -1,20 +1,22 @@
-"""Language-model scores by deleted interpolation of unigrams and bigrams.
+"""Language-model scores by deleted interpolation of uniform, unigram and bigram estimates.
 
-The probability of a word after another is (1 - m) * P1 + m * P2. P1 is the smoothed unigram estimate, P2 the maximum-likelihood
-bigram estimate, and m belongs to the bucket of the context's frequency (by powers of two). The weights m are learnt by
-expectation-maximisation on deleted counts: every training token is held out of the counts that predict it.
+The probability of a word after another is (1 - m) * P1 + m * P2, where P2 is the maximum-likelihood bigram estimate and m belongs to
+the bucket of the context's frequency; and P1 is (1 - l) * U + l * c / N, of the maximum-likelihood unigram estimate and the uniform one over all
+words seen and one unseen. The weights l and m are learnt by expectation-maximisation on deleted counts: every training token is
+held out of the counts that predict it. Buckets are single counts up to 3, then two to each power of two.
 
 Counts are exact and of all training documents. Documents are dealt to batches. A batch asks for the counts of its distinct
 words and bigrams, by sending its own counts, sorted by hash and cut into parts, to where each part is summed; what comes back is
 the totals in the same order. So what is shuffled is a batch's distinct n-grams, however often they occur in it, and a
-frequent one is pre-aggregated in each batch. Nothing of the vocabulary is broadcast. Words are told apart by 63 bits of a hash.
+frequent one is pre-aggregated in each batch. The number of parts is ``PARTS`` up to as many times ``part_bytes`` of text, so that rows grow with
+the batches alone; beyond, a part's memory sets it, and rows are batches times parts, but never more than there are n-grams. Nothing of the vocabulary is broadcast. Words are told apart by 63 bits of a hash.
 
 What a mixture needs of a token is its context's bucket and the ratio of P2 to P1. A document keeps these, and the deleted tokens are
 counted by bucket and ratio; the counts, of a fixed size, are all that the driver sees.
 
 Defined cases: a null text is empty and has only the end token; a null id is for training; repeated ids and rows are scored
 as often as they come, each counted; without training documents every token is unknown; an empty table gives an empty result;
-columns other than the id and text are not read.
+columns other than the id and text are not read; rows that repeat both id and text lie in one batch.
 """
 
 from __future__ import annotations
@@ -27,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import staged, text_of, words
+from lectern.llm.common import col, discard, staged, text_of, words
 
 U64 = np.uint64
 END, START = U64(0x9D39247E33776D41), U64(0x2AF7398005AAA5C7)
-BUCKETS = 48
+BUCKETS = 128
+#: The least number of parts that the n-grams are cut into.
+PARTS = 128
+#: Counts of words are told apart up to this one, and then in so many bins to a power of two.
+SINGLE, FINE = 4096, 64
 #: Bins of the ratio's binary logarithm, eight to a power of two; the first is for 0.
 LOW, BINS = -24, 8 * 72
 KEY = U64(0xFFFFFFFFFFFFFFFE)
@@ -139,22 +145,24 @@ def _ask(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _answer(asked: DataFrame) -> DataFrame:
-    """(batch, part, reply, tokens, types): totals in the order asked; of each part, the first row has its number of training tokens
-    and of distinct words in them."""
-    schema = pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("reply", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+    """(batch, part, reply, level, types, tokens): totals in the order asked; and, without batch, how many distinct words of a part have a
+    level of training count, and how many tokens they are."""
+    schema = pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("reply", pa.binary()), ("level", pa.int64()), ("types", pa.int64()), ("tokens", pa.int64())])
 
     def summed(part: int, batches: list[int], keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.zeros(len(distinct), np.int64)
         np.add.at(totals, at, np.concatenate(counts))
-        word = (distinct & U64(1)) == 1
         sizes = np.cumsum([0, *map(len, keys)])
         replies = [_planes(totals[at[a:b]]) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
-        rest = [0] * (len(keys) - 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(batches, pa.int64()), pa.array([part] * len(keys), pa.int64()), pa.array(replies, pa.binary()), pa.array([int(totals[word].sum()), *rest], pa.int64()), pa.array([int((totals[word] > 0).sum()), *rest], pa.int64())],
-            schema=schema,
-        )
+        words = totals[(distinct & U64(1)) == 1]
+        words = words[words > 0]
+        levels, where = np.unique(_level(words), return_inverse=True)
+        types, tokens = np.bincount(where, minlength=len(levels)), np.zeros(len(levels), np.int64)
+        np.add.at(tokens, where, words)
+        none = [None] * len(levels)
+        columns = [[*batches, *none], [*[part] * len(keys), *none], [*replies, *none], [*[None] * len(keys), *levels], [*[None] * len(keys), *types], [*[None] * len(keys), *tokens]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, numbers, keys, counts = None, [], [], []
@@ -170,12 +178,19 @@ def _answer(asked: DataFrame) -> DataFrame:
         if at is not None:
             yield summed(at, numbers, keys, counts)
 
-    return asked.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "batch long, part long, reply binary, tokens long, types long")
+    return asked.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "batch long, part long, reply binary, level long, types long, tokens long")
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """The level of a count: itself up to ``SINGLE``."""
+    fine = SINGLE + np.floor(FINE * np.log2(np.maximum(counts, SINGLE) / SINGLE)).astype(np.int64)
+    return np.where(counts <= SINGLE, counts, fine)
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
-    """0 for contexts that were never seen, then by powers of two."""
-    return np.minimum(np.floor(np.log2(np.maximum(context, 0.5))).astype(np.int64) + 1, BUCKETS - 1)
+    """0 for contexts that were never seen, single counts up to 3, then by halves of powers of two."""
+    halves = np.floor(2 * np.log2(np.maximum(context, 4))).astype(np.int64)
+    return np.where(context < 4, context, np.minimum(halves, BUCKETS - 1)).astype(np.int64)
 
 
 def _bin(ratio: np.ndarray) -> np.ndarray:
@@ -183,12 +198,12 @@ def _bin(ratio: np.ndarray) -> np.ndarray:
         return np.where(ratio > 0, np.clip((np.log2(ratio) - LOW) * 8, 0, BINS - 2).astype(np.int64) + 1, 0)
 
 
-MEASURED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, zeros binary, buckets binary, ratios binary, cell long, n long"
+MEASURED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, low_score double, zeros binary, buckets binary, ratios binary, cell long, n long"
 
 
-def _measure(rows: DataFrame, n: int, v: int, starts: int) -> DataFrame:
+def _measure(rows: DataFrame, n: int, v: int, starts: int, weight: float) -> DataFrame:
     """Per document what its score needs, and (with cell) how many deleted tokens have a bucket and ratio."""
-    schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("zeros", pa.binary()), ("buckets", pa.binary()), ("ratios", pa.binary()), ("cell", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("low_score", pa.float64()), ("zeros", pa.binary()), ("buckets", pa.binary()), ("ratios", pa.binary()), ("cell", pa.int64()), ("n", pa.int64())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, b, replies in _batches(batches):
@@ -197,30 +212,45 @@ def _measure(rows: DataFrame, n: int, v: int, starts: int) -> DataFrame:
             context = np.empty_like(one)
             context[1:] = one[:-1]
             context[b.starts] = starts
-            p1 = (one + 1) / (n + v + 1)
+            p1 = (1 - weight) / (v + 1) + weight * one / max(n, 1)
             ratio = np.where(context > 0, two / np.maximum(context, 1) / p1, 0.0)
             bucket = _bucket(context)
             # deleted: the token itself is taken out of all three counts
             own = b.train & (context > 1)
-            less = np.maximum(one[own], 1) / max(n - 1 + v + 1, 1)
+            less = (1 - weight) / (v + 1) + weight * (one[own] - 1) / max(n - 1, 1)
             deleted = (two[own] - 1) / (context[own] - 1) / less
             cells = np.bincount(_bucket(context[own] - 1) * BINS + _bin(deleted), minlength=BUCKETS * BINS)
             known = np.add.reduceat((one > 0).astype(np.int64), b.starts)
-            base = np.add.reduceat(np.log10(p1), b.starts)
+            base = np.add.reduceat(np.log10((one + 1) / (n + v + 1)), b.starts)
+            low = np.add.reduceat(np.log10(p1), b.starts)
             out = []
             for d, (key, start, size) in enumerate(zip(ids, b.starts, b.sizes, strict=True)):
                 here = slice(start, start + size)
                 some = ratio[here] > 0
                 zeros = np.bincount(bucket[here][~some], minlength=BUCKETS).astype(np.uint32)
-                out.append((key, not b.train[start], int(size), int(known[d]), float(base[d]), _planes(zeros), bucket[here][some].astype(np.uint8).tobytes(), _planes(ratio[here][some].astype(np.float32)), None, None))
+                out.append((key, not b.train[start], int(size), int(known[d]), float(base[d]), float(low[d]), _planes(zeros), bucket[here][some].astype(np.uint8).tobytes(), _planes(ratio[here][some].astype(np.float32)), None, None))
             full = np.flatnonzero(cells)
-            out += [(None,) * 8 + (int(c), int(cells[c])) for c in full]
+            out += [(None,) * 9 + (int(c), int(cells[c])) for c in full]
             for k in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out[k : k + 4096], strict=True), schema, strict=True)], schema=schema)
 
     return _dealt(rows).mapInArrow(measure, MEASURED)
 
 
+def unigram_weight(levels: dict[int, tuple[int, int]], rounds: int = 200) -> float:
+    """The weight of the unigram estimate beside the uniform one, by expectation-maximisation on deleted counts: each of a word's c tokens is
+    predicted by its other c - 1. levels: types and tokens by level of count. One more token for either side keeps it off 0 and 1."""
+    types, tokens = (np.array([x[k] for x in levels.values()], float) for k in (0, 1))
+    n, v = tokens.sum(), types.sum()
+    if not n:
+        return 0.0
+    ratio = (tokens / types - 1) / max(n - 1, 1) * (v + 1)
+    found = 0.5
+    for _ in range(rounds):
+        found = ((tokens * found * ratio / (found * ratio + 1 - found)).sum() + 0.5) / (n + 1)
+    return float(found)
+
+
 def mixture(cells: dict[int, int], rounds: int = 200) -> np.ndarray:
     """The weight of bigrams in each bucket, by expectation-maximisation on the deleted tokens' ratios. One more token for
     either side keeps a weight off 0 and 1; a bucket without tokens, and that of unseen contexts, has none."""
@@ -236,28 +266,32 @@ def mixture(cells: dict[int, int], rounds: int = 200) -> np.ndarray:
     return np.where((total > 0) & (np.arange(BUCKETS) > 0), found, 0.0)
 
 
-def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, part_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of df: id, held_out, n_tokens, n_known, train_tokens, base_score, score. batch_bytes: of the texts of a batch,
-    on average; a part has as many n-grams."""
-    own = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    on average; part_bytes: of the texts whose n-grams are in a part, at most."""
+    own = df.select(col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     size, docs = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~held_out(F.col("id"))).cast("long")), F.lit(0))).first()
-    count = max(1, -(-size // batch_bytes))
+    count, parts = max(1, -(-size // batch_bytes)), max(PARTS, -(-size // part_bytes))
     own = own.withColumns({"train": ~held_out(F.col("id")), "batch": F.pmod(F.xxhash64("id", "text"), F.lit(count)), "part": F.lit(None).cast("long"), "reply": F.lit(None).cast("binary")})
-    replies = staged(_answer(_ask(own, count)), "replies")
-    n, v = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    measured = staged(_measure(own.unionByName(replies.select("batch", "part", "reply"), allowMissingColumns=True), n, v, docs), "measured")
+    replies = staged(_answer(_ask(own, parts)), "replies")
+    levels = replies.filter("batch IS NULL").groupBy("level").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # a few thousand at most
+    levels = {x.level: (x.types, x.tokens) for x in sorted(levels)}
+    v, n = (sum(x[k] for x in levels.values()) for k in (0, 1))
+    asked = replies.filter("batch IS NOT NULL").select("batch", "part", "reply")
+    measured = staged(_measure(own.unionByName(asked, allowMissingColumns=True), n, v, docs, unigram_weight(levels)), "measured")
+    discard(replies)
     cells = measured.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # of BUCKETS * BINS rows at most
     weights = mixture({x.cell: x.n for x in cells})
 
     @F.pandas_udf("double")
-    def mixed(base: pd.Series, zeros: pd.Series, buckets: pd.Series, ratios: pd.Series) -> pd.Series:
+    def mixed(low: pd.Series, zeros: pd.Series, buckets: pd.Series, ratios: pd.Series) -> pd.Series:
         none = np.log10(1 - weights)
         found = []
-        for start, z, b, r in zip(base, zeros, buckets, ratios, strict=True):
+        for start, z, b, r in zip(low, zeros, buckets, ratios, strict=True):
             m = weights[np.frombuffer(b, np.uint8)]
             found.append(start + float(_unplanes(z, np.uint32) @ none) + float(np.log10(1 - m + m * _unplanes(r, np.float32)).sum()))
         return pd.Series(found, dtype=float)
 
     return measured.filter("cell IS NULL").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", mixed("base_score", "zeros", "buckets", "ratios").alias("score")
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", mixed("low_score", "zeros", "buckets", "ratios").alias("score")
     )

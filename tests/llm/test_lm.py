@@ -7,6 +7,8 @@ import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lectern.llm import lm
 from lectern.llm.queries import op5_lm_scores
 
@@ -27,13 +29,18 @@ def brute_force(rows):
             two.update(zip([start, *w], w, strict=False))
     n, v = sum(one.values()), len(one)
     one[start] = sum(not held_out(i) for i, _ in docs)
-    bucket = lambda c: int(math.floor(math.log2(c))) + 1 if c else 0
+    bucket = lambda c: c if c < 4 else int(math.floor(2 * math.log2(c)))
+    level = 0.5
+    for _ in range(200):
+        seen = [(c, (c - 1) / (n - 1) * (v + 1)) for w, c in one.items() if w != start] if n > 1 else []
+        level = (sum(c * level * r / (level * r + 1 - level) for c, r in seen) + 0.5) / (n + 1)
+    low = lambda c, n: (1 - level) / (v + 1) + level * c / max(n, 1) if n else 1.0
     ratios = defaultdict(list)
     for i, w in docs:
         if not held_out(i):
             for a, b in zip([start, *w], w, strict=False):
                 if one[a] > 1:
-                    ratios[bucket(one[a] - 1)].append((two[a, b] - 1) / (one[a] - 1) / (max(one[b], 1) / (n + v)))
+                    ratios[bucket(one[a] - 1)].append((two[a, b] - 1) / (one[a] - 1) / low(one[b] - 1, n - 1))
     weight = {}
     for k, r in ratios.items():
         r, m = np.array(r), 0.5
@@ -43,10 +50,10 @@ def brute_force(rows):
     for i, w in docs:
         base = score = 0.0
         for a, b in zip([start, *w], w, strict=False):
-            p1 = (one[b] + 1) / (n + v + 1)
+            p0, p1 = (one[b] + 1) / (n + v + 1), low(one[b], n)
             m = weight.get(bucket(one[a]), 0.0)
             p2 = two[a, b] / one[a] if one[a] else 0.0
-            base, score = base + math.log10(p1), score + math.log10((1 - m) * p1 + m * p2)
+            base, score = base + math.log10(p0), score + math.log10((1 - m) * p1 + m * p2)
         yield i, held_out(i), len(w), sum(one[b] > 0 for b in w), n, base, score
 
 
@@ -78,6 +85,22 @@ def test_batches_and_edges(spark):
     assert all(x.train_tokens == 0 and x.n_known == 0 and x.score == x.base_score == 0.0 for x in found)
 
 
+def test_rows_grow_with_the_input_alone(spark):
+    docs = [(k, " ".join(f"w{(k * 31 + j * j) % 5000}" for j in range(60))) for k in range(600)]
+    sent = []
+    for n in (200, 600):
+        own = spark.createDataFrame(docs[:n], "id long, text string").withColumns({"train": F.lit(True), "batch": F.col("id") % (n // 50), "part": F.lit(None).cast("long"), "reply": F.lit(None).cast("binary")})
+        sent.append(lm._ask(own, lm.PARTS).count())
+    assert sent[1] <= 3 * sent[0]
+
+
+def test_levels_of_counts():
+    counts = np.array([1, 2, 4095, 4096, 4097, 5000, 2**40])
+    found = lm._level(counts)
+    assert list(found[:4]) == [1, 2, 4095, 4096] and (np.diff(found) >= 0).all() and found[-1] == lm.SINGLE + 28 * lm.FINE
+    assert list(lm._bucket(np.array([0, 1, 2, 3, 4, 5, 6, 8, 2**60]))) == [0, 1, 2, 3, 4, 4, 5, 6, 120]
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=50))
 def test_keys_are_packed_and_unpacked(keys):
     keys = np.array(sorted(keys), np.uint64)
@@ -87,6 +110,8 @@ def test_keys_are_packed_and_unpacked(keys):
 def test_probabilities_sum_to_one():
     """Over all words of the vocabulary and one unknown, after a seen context."""
     one, after, n = Counter(a=5, b=3, c=2), Counter(b=3, c=2), 10
-    p1 = {w: (one[w] + 1) / (n + len(one) + 1) for w in [*one, "unknown"]}
+    weight = lm.unigram_weight({c: (1, c) for c in one.values()})
+    assert 0 < weight < 1
+    p1 = {w: (1 - weight) / (len(one) + 1) + weight * one[w] / n for w in [*one, "unknown"]}
     m = 0.3
     assert math.isclose(sum((1 - m) * p1[w] + m * after[w] / 5 for w in p1), 1)
