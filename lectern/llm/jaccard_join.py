@@ -16,9 +16,9 @@
    their row, links among them are found: a member's overlap with the union of the others bounds its overlap with any of them, and only
    a member that reaches what a link needs is held against the members of other components, in one count over the group's
    inverted index. Where all members link with the centre, one count settles the group.
-5. Queries: a document is a candidate for another group that holds enough of its signatures, in documents that are not linked with it
-   yet. Its overlap with the group's stored union is counted against the matrix, and the group is opened only if that reaches what
-   a link to any member needs; only then are the members' sets sent. No document asks its own group, or a pair of groups twice.
+5. Queries: a document is a candidate for another group that holds enough of its signatures, in documents of larger components than its
+   own. Its overlap with the group's stored union is counted against the matrix, and the group is opened only if that reaches what
+   a link to any member needs; only then are the members' sets sent. No document asks its own group.
 6. Links of both kinds give the components.
 
 No step emits the pairs of a group. What goes to one task is a signature's rows, pre-aggregated in each batch, a group, or ``SALT_ROWS`` queries
@@ -379,13 +379,16 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     matrix = staged(_matrix(built, share, of), "matrix")
     links = matrix.filter("a IS NOT NULL").select("a", "b")
     linked = staged(components(links), "linked")
-    # Queries: groups that hold enough of a document's signatures, in documents of other components.
-    known = shared.join(members.select("id", "group"), "id").join(linked, "id", "left").select("sig", "id", "least", "group", F.coalesce("component", "id").alias("component"))
+    # Queries: groups that hold enough of a document's signatures, in documents of larger components; of two documents that may link, it is
+    # the one of the smaller component that asks, whichever signatures they share, so those of a very large one need not ask.
+    counted = linked.join(linked.groupBy("component").agg(F.count(F.lit(1)).alias("documents")), "component")
+    rank = F.struct(F.coalesce("documents", F.lit(1).cast("long")).alias("documents"), F.coalesce("component", "id").alias("component"))
+    known = shared.join(members.select("id", "group"), "id").join(counted, "id", "left").select("sig", "id", "least", "group", rank.alias("rank"))
     known = staged(known, "known")
-    apart = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-    apart = staged(known.join(apart, "sig", "left_semi"), "apart")
-    across = apart.groupBy("sig", F.col("group").alias("asked")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    asking = apart.join(across, "sig").filter("asked > group AND NOT (low = high AND low = component)")
+    most = known.groupBy("sig").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("low < high").select("sig", F.col("high").alias("most"))
+    apart = staged(known.join(most, "sig"), "apart")
+    across = apart.groupBy("sig", F.col("group").alias("asked")).agg(F.max("rank").alias("high"))
+    asking = apart.filter("rank < most").join(across, "sig").filter("asked <> group AND rank < high")
     queries = asking.groupBy("id", "asked", "least").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("id", F.col("asked").alias("group")).distinct()
     queries = staged(queries, "queries")
     discard(known, apart, shared)
