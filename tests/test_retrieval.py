@@ -20,7 +20,8 @@ def test_search_over_blocks(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(300)]
     df = vectors(spark, rows)
-    monkeypatch.setattr(retrieval, "BLOCK", 32)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 8 * 9 * 6)
+    monkeypatch.setattr(retrieval, "SCORES", 100)
     small = retrieval.search(df.filter("vec_id < 20"), df.repartition(5), 4).collect()
     monkeypatch.undo()
     assert sorted(map(tuple, small)) == sorted(map(tuple, retrieval.search(df.filter("vec_id < 20"), df, 4).collect()))
@@ -40,6 +41,41 @@ def test_approximate_search_gives_k_rows(spark):
     assert [(x.query_id, x.id, x["rank"]) for x in found] == [(1, 3, 1), (1, 2, 2)]
 
 
+def test_search_against_all_pairs_with_ties(spark):
+    rng = random.Random(3)
+    rows = [(k, [float(rng.randint(-1, 1)) for _ in range(4)]) for k in range(400)]
+    unit = {k: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v] for k, v in rows}
+    want = []
+    for q in range(0, 400, 50):
+        scored = sorted((-round(sum(a * b for a, b in zip(unit[q], unit[k], strict=True)), 6), k) for k, v in rows if k != q and any(v) and any(dict(rows)[q]))
+        want += [(q, k, -s or 0.0, n + 1) for n, (s, k) in enumerate(scored[:7])]
+    df = vectors(spark, rows).repartition(7)
+    assert sorted((x.query_id, x.id, x.score, x["rank"]) for x in retrieval.search(df.filter("vec_id % 50 = 0"), df, 7).collect()) == sorted(want)
+
+
+def test_a_stored_index_is_loaded_and_added_to(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    retrieval.VectorIndex.save(df.filter("vec_id < 300"), f"{tmp_path}/i")
+    index = retrieval.VectorIndex.load(spark, f"{tmp_path}/i")
+    asked = df.filter("vec_id % 50 = 0")
+    before = index.search(asked, 3).collect()
+    assert before and all(x.id < 300 for x in before)
+    index.add(df.filter("vec_id >= 300"))
+    exact = index.search(asked, 5)
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, retrieval.search(asked, df, 5).collect()))
+    index.fit_projections()
+    assert retrieval.recall(retrieval.VectorIndex.load(spark, f"{tmp_path}/i").approximate(asked, 5), exact).first().recall >= 0.9
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    whole = sorted(map(tuple, retrieval.bm25(items, docs).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 1 << 14)
+    monkeypatch.setattr(retrieval, "SCORES", 50)
+    assert sorted(map(tuple, retrieval.bm25(items, docs.repartition(3)).collect())) == whole
+
+
 def test_bm25_edges(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, ""), (4, "beta beta")], "doc_id long, text string")
     ask = lambda *x: spark.createDataFrame(list(enumerate(x)), "item_id long, text string")
