@@ -14,8 +14,9 @@ def drop_column(df: DataFrame, column: str = "cat") -> DataFrame:
 
 
 def class_label(df: DataFrame, label_col: str = "label", names: tuple[str, ...] = NAMES, strict: bool = False) -> DataFrame:
-    """df with the label as a class (an int from 0) and ``<label>_name``. Other values are null, or an error if strict."""
-    code = F.col(label_col).cast("int")
+    """df with the label as a class (an int from 0) and ``<label>_name``. Other values, text that is no number among them, are null, or an
+    error if strict."""
+    code = F.col(label_col).try_cast("int")
     bad = F.raise_error(F.concat(F.lit("not a class: "), F.coalesce(F.col(label_col).cast("string"), F.lit("null")))).cast("int") if strict else F.lit(None).cast("int")
     df = df.withColumn(label_col, F.when((code >= 0) & (code < len(names)), code).otherwise(bad))
     return df.withColumn(f"{label_col}_name", F.get(F.array(*map(F.lit, names)), F.col(label_col)))
@@ -44,9 +45,13 @@ def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "do
 
 
 def one_per_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The least id of each distinct text, so that a split has no text on both sides."""
-    kept = df.groupBy(F.sha2(text_col, 256).alias("_text")).agg(F.min(id_col).alias("_kept"))
-    return df.join(kept.select(F.col("_kept").alias(id_col)), id_col, "left_semi")
+    """One row of each distinct text, that with the least id, so that a split has no text on both sides. Of rows that share both id and text, one
+    is left; an id that stands with several texts keeps its row of each text whose least id it is. Null texts are one text."""
+    digest = F.sha2(F.coalesce(F.concat(F.lit("t"), text_col), F.lit("")), 256)
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
+    kept = rows.groupBy("digest").agg(F.min("id").alias("least")).select(F.col("digest").alias("kept"), "least")
+    rows = rows.join(kept, (F.col("digest") == F.col("kept")) & F.col("id").eqNullSafe(F.col("least")))
+    return rows.groupBy("digest").agg(F.first("row").alias("row")).select("row.*")
 
 
 def accuracy(predictions: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:

@@ -26,6 +26,20 @@ def test_split_is_exact_disjoint_and_stable(spark):
         assert count(c)[0] == int(count(c)[1] * 0.2)
 
 
+def test_labels_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("pos",), ("1",), ("",), ("1.5x",)], "label string")
+    assert [x.label for x in labels.class_label(df).collect()] == [None, 1, None, None]
+    with pytest.raises(PySparkException):
+        labels.class_label(df, strict=True).collect()
+
+
+def test_one_per_text_with_repeated_ids(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (2, "b"), (1, "c"), (3, None), (4, None), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, labels.one_per_text(df).collect()), key=repr)
+    assert found == sorted([(1, "a"), (2, "b"), (1, "c"), (3, None)], key=repr)
+
+
 def test_one_per_text_leaves_no_text_on_both_sides(spark):
     df = spark.createDataFrame([(3, "a", 1), (1, "a", 1), (2, "b", 0)], "doc_id long, text string, label int")
     assert sorted(x.doc_id for x in labels.one_per_text(df).collect()) == [1, 2]
