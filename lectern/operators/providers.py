@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import tokens
+
 
 class PdfParser(Protocol):
     def parse(self, content: bytes) -> str: ...
@@ -58,7 +61,9 @@ def parse_pdfs(df: DataFrame, parser: PdfParser, content_col: str = "content") -
 
 
 def embed(df: DataFrame, embedder: Embedder, text_col: str = "para", out: str = "embedding", batch_size: int = 64) -> DataFrame:
-    """df with an array<float> for each text."""
+    """df with an array<float> for each text; an embedder that works on DataFrames (``embedded``) does so."""
+    if hasattr(embedder, "embedded"):
+        return embedder.embedded(df, text_col, out)
 
     @F.pandas_udf("array<float>")
     def embedded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -70,35 +75,118 @@ def embed(df: DataFrame, embedder: Embedder, text_col: str = "para", out: str =
     return df.withColumn(out, embedded(F.col(text_col)))
 
 
-def complete(df: DataFrame, model: LanguageModel, prompt_col: str = "prompt", out: str = "answer") -> DataFrame:
-    """df with the model's answer to each prompt; one client per partition. Prompts hold whole texts, so they go to Python a hundred at a
+def complete(df: DataFrame, model: LanguageModel, prompt_col: str = "prompt", out: str = "answer", error: str | None = None) -> DataFrame:
+    """df with the model's answer to each prompt; one client per partition. With ``error``, the name of a column, a call that fails is a row with a null
+    answer and its error; without, it fails the job. Prompts hold whole texts, so they go to Python a hundred at a
     time, not in Arrow's batches of 10,000."""
     opened: list[LanguageModel] = []  # empty in each task, which unpickles its own
 
-    def answered(prompt: str | None) -> str | None:
+    def answered(prompt: str | None) -> tuple[str | None, str | None]:
         if prompt is None:
-            return None
+            return None, None
         if not opened:
             opened.append(_opened(model))
-        return opened[0].complete(prompt)
+        try:
+            return opened[0].complete(prompt), None
+        except Exception as e:
+            if error is None:
+                raise
+            return None, f"{type(e).__name__}: {e}"
 
-    return df.withColumn(out, F.udf(answered, "string", useArrow=False)(F.col(prompt_col)))
+    found = F.udf(answered, "struct<answer: string, error: string>", useArrow=False)(F.col(prompt_col))
+    rows = df.select(F.struct(*df.columns).alias("_row"), found.alias("_found"))
+    return rows.select("_row.*", F.col("_found.answer").alias(out), *([F.col("_found.error").alias(error)] if error else []))
 
 
 class ChatApi:
-    """A chat-completions service over https. Not tried here, where there is no network."""
+    """A chat-completions service over http. Calls that fail for a reason that passes (429, 5xx, a broken connection) are tried again, after a pause that
+    doubles or that the service asks for. ``per_second`` limits one client; there is one in each partition, so a job's limit is that times
+    the partitions that run at once."""
 
-    def __init__(self, url: str, key: str, model: str, timeout: float = 60):
+    def __init__(self, url: str, key: str, model: str, timeout: float = 60, retries: int = 5, pause: float = 1.0, per_second: float | None = None):
         self.url, self.key, self.model, self.timeout = url, key, model, timeout
+        self.retries, self.pause, self.per_second, self.last = retries, pause, per_second, 0.0
 
-    def complete(self, prompt: str) -> str:
+    def _call(self, body: bytes) -> str:
         from urllib.request import Request, urlopen
 
-        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}]}).encode()
+        if self.per_second:
+            time.sleep(max(0.0, self.last + 1 / self.per_second - time.monotonic()))
+            self.last = time.monotonic()
         request = Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
         with urlopen(request, timeout=self.timeout) as answer:
             return json.load(answer)["choices"][0]["message"]["content"]
 
+    def complete(self, prompt: str) -> str:
+        from urllib.error import HTTPError
+
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}]}).encode()
+        for attempt in range(self.retries + 1):
+            wait = self.pause * 2**attempt
+            try:
+                return self._call(body)
+            except HTTPError as e:
+                if attempt == self.retries or e.code != 429 and e.code < 500:
+                    raise
+                asked = e.headers.get("Retry-After", "")
+                wait = float(asked) if asked.isdigit() else wait
+            except OSError:
+                if attempt == self.retries:
+                    raise
+            time.sleep(wait)
+        raise AssertionError("unreachable")
+
+
+class FileTokenizer:
+    """A tokenizer from a file of the ``tokenizers`` library, which every worker has. WordPiece vocabularies, BPE and others, with their own special tokens."""
+
+    def __init__(self, path: str, add_special_tokens: bool = True):
+        self.path, self.add_special_tokens = path, add_special_tokens
+        self.own = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "own": None}
+
+    def encode(self, text: str) -> list[int]:
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+        return self.own.encode(text, add_special_tokens=self.add_special_tokens).ids
+
+
+class WordVectors:
+    """An embedder that is trained on the corpus itself: skip-gram word vectors, and of a text the mean of its words' vectors. Words that stand in like contexts
+    are near each other, so it is semantic in a small way; a sentence encoder is better where its weights are at hand."""
+
+    def __init__(self, width: int = 64, least: int = 2, seed: int = 7, rounds: int = 1):
+        self.width, self.least, self.seed, self.rounds, self.model = width, least, seed, rounds, None
+
+    def fit(self, df: DataFrame, text_col: str = "para") -> WordVectors:
+        from pyspark.ml.feature import Word2Vec
+
+        own = Word2Vec(vectorSize=self.width, minCount=self.least, seed=self.seed, maxIter=self.rounds, inputCol="tokens", outputCol="vector")
+        self.model = own.fit(df.select(tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens")))
+        return self
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> WordVectors:
+        from pyspark.ml.feature import Word2VecModel
+
+        own = cls()
+        own.model = Word2VecModel.load(path)
+        return own
+
+    def embedded(self, df: DataFrame, text_col: str = "para", out: str = "embedding") -> DataFrame:
+        """df with an array<float> for each text, without Python."""
+        from pyspark.ml.functions import vector_to_array
+
+        rows = df.select(F.struct(*df.columns).alias("row"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+        return self.model.transform(rows).select("row.*", vector_to_array("vector", "float32").alias(out))
+
 
 class WordPiece:
     """A WordPiece encoder over a given vocabulary: greedy longest match, Han characters one by one, [CLS] and [SEP] around."""
@@ -162,7 +250,7 @@ class EchoModel:
 
 
 class PlainTextParser:
-    """A stub: takes bytes as UTF-8 text."""
+    """A stub: takes bytes as UTF-8 text. ``pdf.PdfText`` is the parser."""
 
     def parse(self, content: bytes) -> str:
         return content.decode()

@@ -21,6 +21,11 @@ def pick_device() -> str:
     return "cuda" if torch.cuda.is_available() else "cpu"
 
 
+def devices(spark: SparkSession, tasks: int = 8) -> list[str]:
+    """What the workers see, asked on them."""
+    return sorted({x.device for x in spark.range(0, tasks, 1, tasks).select(F.udf(pick_device, "string", useArrow=False)().alias("device")).distinct().collect()})
+
+
 def linear_trainer(text_col: str = "text", label_col: str = "label", features: int = 1 << 16, regularisation: float = 0.0, rounds: int = 50) -> Pipeline:
     """Hashed TF-IDF and logistic regression, JVM-side throughout."""
     return Pipeline(
@@ -56,6 +61,28 @@ def select_best(found: dict[str, float]) -> str:
     return min(sorted(found), key=lambda x: found[x])
 
 
+def fit_best(train: DataFrame, valid: DataFrame, path: str, rounds: tuple[int, ...] = (1, 5, 20, 50), label_col: str = "label", **how) -> dict[int, float]:
+    """Trains for more and more rounds and saves the model whenever its loss on the validation rows is the least so far, as a training loop saves its best
+    epoch. Returns the losses by rounds; the model at ``path`` is that of the least."""
+    found: dict[int, float] = {}
+    for n in rounds:
+        model = fit(train, linear_trainer(label_col=label_col, rounds=n, **how))
+        found[n] = losses({"": model}, valid, label_col)[""]
+        if found[n] == min(found.values()) and list(found.values()).count(found[n]) == 1:
+            model.write().overwrite().save(path)
+    return found
+
+
+def log_losses(predictions: DataFrame, model_col: str = "model", label_col: str = "label", positive_col: str = "positive") -> DataFrame:
+    """(model, loss, best): each model's mean log loss over rows that have a label and a probability of class 1, and whether it is the least; of
+    equal ones the first by name. Probabilities are kept from 0 and 1 by 1e-15."""
+    own = F.when(F.col(label_col) == 1, F.col(positive_col)).otherwise(1 - F.col(positive_col))
+    rows = predictions.filter(F.col(label_col).isNotNull() & F.col(positive_col).isNotNull())
+    found = rows.groupBy(F.col(model_col).alias("model")).agg(F.round(-F.avg(F.log(F.greatest(F.least(own, F.lit(1 - 1e-15)), F.lit(1e-15)))), 9).alias("loss"))
+    least = found.agg(F.min(F.struct("loss", "model")).alias("least"))  # a row
+    return found.join(F.broadcast(least)).select("model", "loss", (F.struct("loss", "model") == F.col("least")).alias("best"))
+
+
 def predict(model: PipelineModel, texts: str | DataFrame, text_col: str = "text") -> DataFrame:
     """Predictions for a batch, or for one sentence as a batch of one row."""
     if isinstance(texts, str):

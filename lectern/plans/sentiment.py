@@ -26,4 +26,4 @@ def run(spark: SparkSession, csv_path: str, work_dir: str, text_col: str = "revi
     best = training.select_best(found)
     files.save_best(models[best], f"{work_dir}/model")
     scored = training.predict(files.load_best(f"{work_dir}/model"), test, text_col)
-    return {"accuracy": labels.accuracy(scored).first()["accuracy"], "losses": found, "best": best, "model": f"{work_dir}/model", "device": training.pick_device()}
+    return {"accuracy": labels.accuracy(scored).first()["accuracy"], "losses": found, "best": best, "model": f"{work_dir}/model", "device": ",".join(training.devices(spark))}

@@ -24,15 +24,20 @@ def read_pdfs(spark: SparkSession, path: str, recursive: bool = True, pattern: s
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path)
 
 
-def write_chunks(df: DataFrame, path: str, json: bool = False) -> None:
+def write_chunks(df: DataFrame, path: str, json: bool = False, mode: str = "overwrite") -> None:
     """Chunks (doc_id, pos, para), as Parquet or as JSON lines."""
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode(mode)
     writer.json(path) if json else writer.parquet(path)
 
 
-def write_papers(df: DataFrame, path: str, json: bool = False) -> None:
+def write_papers(df: DataFrame, path: str, json: bool = False, mode: str = "overwrite") -> None:
     """Metadata of papers, one row each."""
-    write_chunks(df, path, json)
+    write_chunks(df, path, json, mode)
+
+
+def write_reviews(df: DataFrame, path: str) -> None:
+    """Reviews as CSV that ``read_reviews`` reads back as they were, but for empty texts, which come back as null."""
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_embeddings(df: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> None:
