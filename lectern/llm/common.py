@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import shared_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space that parts words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,30 +27,10 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*(col(c) for c in df.columns))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session's spark.checkpoint.dir. Only in a session of one machine, as in
-    tests, a temporary folder takes its place where that is unset; on a cluster it is an error."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
-    return context.getCheckpointDir()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, which is deleted when the application ends, if it is still there then."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at, files = _files(spark, path)
-    files.deleteOnExit(at)
-    return path
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors. The query that
     writes it is run this once, so that its shuffle files can go when it ends."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
@@ -69,14 +48,9 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, _PLACES.pop(table))
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def remove(spark: SparkSession, path: str) -> None:
-    at, files = _files(spark, path)
-    files.delete(at, True)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_of(column: str) -> Column:

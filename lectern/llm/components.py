@@ -31,11 +31,13 @@ def _done(links: DataFrame) -> bool:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id that each linked id can reach. Ids without links are not in it. The tables of each step are
-    written to the shared folder, so that lineage stays short; steps end when the links are stars, whose centres are
+    written to the shared folder, as the result is, so that lineage stays short; steps end when the links are stars, whose centres are
     less than all that hang on them."""
     links = staged(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "links")
     while not _done(links):
         following = staged(_stars(_stars(links, large=True), large=False), "links")
         discard(links)
         links = following
-    return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+    found = staged(links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct(), "components")
+    discard(links)
+    return found

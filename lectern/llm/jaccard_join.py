@@ -378,7 +378,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     built = _sets(own, wanted, n).select("group", "id", "set").repartition("group").sortWithinPartitions("group", "id")
     matrix = staged(_matrix(built, share, of), "matrix")
     links = matrix.filter("a IS NOT NULL").select("a", "b")
-    linked = staged(components(links), "linked")
+    linked = components(links)
     # Queries: groups that hold enough of a document's signatures, in documents of larger components; of two documents that may link, it is
     # the one of the smaller component that asks, whichever signatures they share, so those of a very large one need not ask.
     counted = linked.join(linked.groupBy("component").agg(F.count(F.lit(1)).alias("documents")), "component")
@@ -399,7 +399,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
         if seen is not None:
             seen |= {"asked": bounds.count(), "qualified": opening.count()}
         more = staged(_opened(opening, members.join(opening.select("group").distinct(), "group", "left_semi").select("group", "id"), own, n, share, of), "more")
-        linked = staged(components(links.unionByName(more)), "linked")
+        linked = components(links.unionByName(more))
         tables += [bounds, more]
     classed = classes.join(linked, F.col("rep") == F.col("id"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     found = staged(keys.join(classed, ["a", "b"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")), "similar")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import col, row_of, staged, text_of, words
+from lectern.llm.common import col, discard, row_of, staged, text_of, words
 
 BLOCKS = 4096
 #: Exponents that one pass over the sources tries.
@@ -185,6 +185,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text
     within = F.when(F.col("end.place").isNull(), False).when(own_place < F.col("end"), True).when(own_place > F.col("end"), False)
     within = within.otherwise(F.coalesce(F.struct("rank", tie.alias("tie")) <= F.col("last"), F.lit(False)))
     decided = _joined(own, rules, n_sources).select("row", "id", "source", n_tokens.alias("n_tokens"), "block", "weight", (F.col("epochs") + within.cast("long")).alias("copies"))
+    discard(sums, tokens)
     return decided, asked
 
 

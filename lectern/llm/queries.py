@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import chat, exact_dedup, fingerprints, jaccard_join, licenses, lm, mixing, packing, quality, warc
-from lectern.llm.common import LOWER, UPPER, new_path, remove
+from lectern.llm.common import LOWER, UPPER, remove
+from lectern.session import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +51,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
+    path = shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
     found = warc.report(spark, path)
     remove(spark, path)  # the report rests on a table of its own
