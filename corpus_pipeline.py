@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from lectern.llm.common import staged
+from lectern.llm.common import discard, staged
 from lectern.llm.queries import tokenizer_path
 
 
@@ -51,6 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        following = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(docs)
+        docs = following
     return STAGES[-1][1](spark, docs, sf_dir)
