@@ -3,7 +3,9 @@
 The probability of a word after another is (1 - m) * P1 + m * P2, where P2 is the maximum-likelihood bigram estimate and m belongs to
 the bucket of the context's frequency; and P1 is (1 - l) * U + l * c / N, of the maximum-likelihood unigram estimate and the uniform one over all
 words seen and one unseen. The weights l and m are learnt by expectation-maximisation on deleted counts: every training token is
-held out of the counts that predict it. Buckets are single counts up to 3, then two to each power of two.
+held out of the counts that predict it. A context's bucket is by its frequency in the training texts, in learning as in scoring: single counts up to 3,
+then two to each power of two. So a context that occurs once has no weight: without the token held out, nothing is known of it, and no training
+text is scored by what it alone says.
 
 Counts are exact and of all training documents. Documents are dealt to batches. A batch asks for the counts of its distinct
 words and bigrams, by sending its own counts, sorted by hash and cut into parts, to where each part is summed; what comes back is
@@ -219,7 +221,7 @@ def _measure(rows: DataFrame, n: int, v: int, starts: int, weight: float) -> Dat
             own = b.train & (context > 1)
             less = (1 - weight) / (v + 1) + weight * (one[own] - 1) / max(n - 1, 1)
             deleted = (two[own] - 1) / (context[own] - 1) / less
-            cells = np.bincount(_bucket(context[own] - 1) * BINS + _bin(deleted), minlength=BUCKETS * BINS)
+            cells = np.bincount(_bucket(context[own]) * BINS + _bin(deleted), minlength=BUCKETS * BINS)
             known = np.add.reduceat((one > 0).astype(np.int64), b.starts)
             base = np.add.reduceat(np.log10((one + 1) / (n + v + 1)), b.starts)
             low = np.add.reduceat(np.log10(p1), b.starts)

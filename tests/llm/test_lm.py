@@ -40,7 +40,7 @@ def brute_force(rows):
         if not held_out(i):
             for a, b in zip([start, *w], w, strict=False):
                 if one[a] > 1:
-                    ratios[bucket(one[a] - 1)].append((two[a, b] - 1) / (one[a] - 1) / low(one[b] - 1, n - 1))
+                    ratios[bucket(one[a])].append((two[a, b] - 1) / (one[a] - 1) / low(one[b] - 1, n - 1))
     weight = {}
     for k, r in ratios.items():
         r, m = np.array(r), 0.5
