@@ -16,8 +16,8 @@
    their row, links among them are found: a member's overlap with the union of the others bounds its overlap with any of them, and only
    a member that reaches what a link needs is held against the members of other components, in one count over the group's
    inverted index. Where all members link with the centre, one count settles the group.
-5. Queries: a document is a candidate for another group that holds enough of its signatures, in documents of larger components than its
-   own. Its overlap with the group's stored union is counted against the matrix, and the group is opened only if that reaches what
+5. Queries: a document is a candidate for the other groups around a centre that together hold enough of its signatures, in documents of
+   larger components than its own. Its overlap with the group's stored union is counted against the matrix, and the group is opened only if that reaches what
    a link to any member needs; only then are the members' sets sent. No document asks its own group.
 6. Links of both kinds give the components.
 
@@ -48,7 +48,7 @@ from lectern.llm.exact_dedup import frequent
 
 U64 = np.uint64
 #: Queries of a group that go to one task.
-SALT_ROWS = 256
+SALT_ROWS = 64
 #: What a short document counts for in a group, so that a group has not too many rows.
 ROW_TOKENS = 1024
 
@@ -380,18 +380,21 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     links = matrix.filter("a IS NOT NULL").select("a", "b")
     linked = components(links)
     # Queries: groups that hold enough of a document's signatures, in documents of larger components; of two documents that may link, it is
-    # the one of the smaller component that asks, whichever signatures they share, so those of a very large one need not ask.
+    # the one of the smaller component that asks, whichever signatures they share, so those of a very large one need not ask. Signatures
+    # are counted by cluster, which may be many groups; then its groups are asked, each once.
     counted = linked.join(linked.groupBy("component").agg(F.count(F.lit(1)).alias("documents")), "component")
     rank = F.struct(F.coalesce("documents", F.lit(1).cast("long")).alias("documents"), F.coalesce("component", "id").alias("component"))
-    known = shared.join(members.select("id", "group"), "id").join(counted, "id", "left").select("sig", "id", "least", "group", rank.alias("rank"))
-    known = staged(known, "known")
+    ranked = staged(members.join(counted, "id", "left").select("id", "cluster", "group", rank.alias("rank")), "ranked")
+    known = staged(shared.join(ranked, "id").select("sig", "id", "least", "cluster", "rank"), "known")
     most = known.groupBy("sig").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("low < high").select("sig", F.col("high").alias("most"))
     apart = staged(known.join(most, "sig"), "apart")
-    across = apart.groupBy("sig", F.col("group").alias("asked")).agg(F.max("rank").alias("high"))
-    asking = apart.filter("rank < most").join(across, "sig").filter("asked <> group AND rank < high")
-    queries = asking.groupBy("id", "asked", "least").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("id", F.col("asked").alias("group")).distinct()
+    across = apart.groupBy("sig", F.col("cluster").alias("asked")).agg(F.max("rank").alias("high"))
+    asking = apart.filter("rank < most").join(across, "sig").filter("rank < high")
+    asking = asking.groupBy("id", "asked", "least").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("id", "asked").distinct().join(ranked.select("id", "group", "rank"), "id")
+    held = ranked.groupBy(F.col("cluster").alias("asked"), F.col("group").alias("other")).agg(F.max("rank").alias("high"))
+    queries = asking.join(held, "asked").filter("other <> group AND rank < high").select("id", F.col("other").alias("group"))
     queries = staged(queries, "queries")
-    discard(known, apart, shared)
+    discard(known, apart, ranked, shared)
     tables = [linked, queries]
     if not queries.isEmpty():
         bounds = staged(qualifying(queries, _sets(own, queries, n), matrix, share, of), "bounds")
