@@ -48,7 +48,7 @@ def one_per_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each distinct text, that with the least id, so that a split has no text on both sides. Of rows that share both id and text, one
     is left; an id that stands with several texts keeps its row of each text whose least id it is. Null texts are one text."""
     digest = F.sha2(F.coalesce(F.concat(F.lit("t"), text_col), F.lit("")), 256)
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
     kept = rows.groupBy("digest").agg(F.min("id").alias("least")).select(F.col("digest").alias("kept"), "least")
     rows = rows.join(kept, (F.col("digest") == F.col("kept")) & F.col("id").eqNullSafe(F.col("least")))
     return rows.groupBy("digest").agg(F.first("row").alias("row")).select("row.*")

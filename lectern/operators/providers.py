@@ -94,7 +94,7 @@ def complete(df: DataFrame, model: LanguageModel, prompt_col: str = "prompt", ou
             return None, f"{type(e).__name__}: {e}"
 
     found = F.udf(answered, "struct<answer: string, error: string>", useArrow=False)(F.col(prompt_col))
-    rows = df.select(F.struct(*df.columns).alias("_row"), found.alias("_found"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), found.alias("_found"))
     return rows.select("_row.*", F.col("_found.answer").alias(out), *([F.col("_found.error").alias(error)] if error else []))
 
 
@@ -184,7 +184,7 @@ class WordVectors:
         """df with an array<float> for each text, without Python."""
         from pyspark.ml.functions import vector_to_array
 
-        rows = df.select(F.struct(*df.columns).alias("row"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+        rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
         return self.model.transform(rows).select("row.*", vector_to_array("vector", "float32").alias(out))
 
 

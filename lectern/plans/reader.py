@@ -21,7 +21,7 @@ class Reader:
         self._write(papers, "overwrite")
 
     def add(self, papers: DataFrame) -> None:
-        """More papers, beside those that are there."""
+        """More papers, beside those that are there; their ids must be new."""
         self._write(papers, "append")
 
     def _write(self, papers: DataFrame, mode: str) -> None:
