@@ -97,7 +97,7 @@ def gzipped(record: bytes) -> bytes:
     """A record as gzip members, each of ``MEMBER_BYTES`` at most, without the last byte, which is zero."""
     out = []
     for at in range(0, max(len(record), 1), MEMBER_BYTES):
-        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
         out += [packer.compress(record[at : at + MEMBER_BYTES]), packer.flush()]
     return b"".join(out)[:-1]
 
