@@ -44,14 +44,18 @@ def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "do
     return rows.select(*df.columns, split.alias("split"))
 
 
-def one_per_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_per_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = None) -> DataFrame:
     """One row of each distinct text, that with the least id, so that a split has no text on both sides. Of rows that share both id and text, one
-    is left; an id that stands with several texts keeps its row of each text whose least id it is. Null texts are one text."""
+    is left; an id that stands with several texts keeps its row of each text whose least id it is. Null texts are one text. With label_col, that column
+    is the label of the least id that has one among the copies, the least of them if it has several; null if none has."""
     digest = F.sha2(F.coalesce(F.concat(F.lit("t"), text_col), F.lit("")), 256)
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
-    kept = rows.groupBy("digest").agg(F.min("id").alias("least")).select(F.col("digest").alias("kept"), "least")
+    label = F.col(f"row.`{label_col}`") if label_col else F.lit(None).cast("int")
+    first = F.min(F.when(label.isNotNull(), F.struct(F.col("id").isNull().alias("none"), "id", label.alias("label"))))["label"]
+    kept = rows.groupBy("digest").agg(F.min("id").alias("least"), first.alias("label")).select(F.col("digest").alias("kept"), "least", "label")
     rows = rows.join(kept, (F.col("digest") == F.col("kept")) & F.col("id").eqNullSafe(F.col("least")))
-    return rows.groupBy("digest").agg(F.first("row").alias("row")).select("row.*")
+    found = rows.groupBy("digest").agg(F.first("row").alias("row"), F.first("label").alias("label"))
+    return found.select(*(F.col("label" if c == label_col else f"row.`{c}`").alias(c) for c in df.columns))
 
 
 def accuracy(predictions: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:

@@ -56,7 +56,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.stratified_split(labels.one_per_text(_labelled(spark, sf_dir))).select("doc_id", "label", "split")
+    return labels.stratified_split(labels.one_per_text(_labelled(spark, sf_dir), label_col="label")).select("doc_id", "label", "split")
 
 
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,12 @@ def test_one_per_text_leaves_no_text_on_both_sides(spark):
     assert sorted(x.doc_id for x in labels.one_per_text(df).collect()) == [1, 2]
 
 
+def test_one_per_text_takes_the_first_label_there_is(spark):
+    rows = [(1, "a", None), (2, "a", 1), (3, "a", 0), (4, "b", None), (5, "c", 1), (5, "c", 0), (6, "c", 0), (None, "d", 0), (7, "d", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    assert sorted(map(tuple, labels.one_per_text(df, label_col="label").collect())) == [(1, "a", 1), (4, "b", None), (5, "c", 0), (7, "d", 1)]
+
+
 def test_accuracy(spark):
     df = spark.createDataFrame([(1, 1), (0, 1), (None, 1), (1, None)], "label int, prediction int")
     assert tuple(labels.accuracy(df).first()) == (0.5, 2)

@@ -28,6 +28,18 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows_of(own.columns, own.collect()) == rows_of(other.columns, other.fetchall())
 
 
+def test_dedup_split_where_the_first_copy_has_no_label(spark, tmp_path):
+    docs = [(k, f"text {k % 30}") for k in range(90)]
+    marks = [(k, None if k < 20 or k % 30 == 25 else int(k % 30 < 22)) for k in range(90)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    own, other = registry.dedup_split(spark, str(tmp_path)), con.sql(registry.ORACLES["dedup_split"])
+    assert rows_of(own.columns, own.collect()) == rows_of(other.columns, other.fetchall())
+
+
 def test_lexical_hits_hold_the_verbatim_passages(spark, duck):
     pairs = duck.sql("SELECT item_id, doc_id FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text)").fetchall()
     hits = {(x.question_id, x.id) for x in registry.bm25_topk(spark, SF).collect()}
