@@ -14,6 +14,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 #: With this, Spark deletes a query's shuffle files when the query ends.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The most rows that go to Python at once, from a task whose rows may be large.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -27,16 +29,19 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*(col(c) for c in df.columns))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back: cuts lineage, survives the loss of executors. The query that
-    writes it is run this once, so that its shuffle files can go when it ends."""
+    writes it is run this once, so that its shuffle files can go when it ends. arrow_rows: as many rows go to Python at once."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    before = {CLEAN_UP: spark.conf.get(CLEAN_UP, "false")} | ({ARROW_ROWS: spark.conf.get(ARROW_ROWS)} if arrow_rows else {})
     try:
+        spark.conf.set(CLEAN_UP, "true")
+        if arrow_rows:
+            spark.conf.set(ARROW_ROWS, str(arrow_rows))
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     found = spark.read.schema(df.schema).parquet(path)
     _PLACES[found] = path
     return found

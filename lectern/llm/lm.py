@@ -36,6 +36,8 @@ from lectern.llm.common import col, discard, staged, text_of, words
 U64 = np.uint64
 END, START = U64(0x9D39247E33776D41), U64(0x2AF7398005AAA5C7)
 BUCKETS = 128
+#: Rows that go to Python at once. Tens of thousands of keys or tokens stand in one, and all of a task's rows would otherwise go together.
+ROWS = 128
 #: The least number of parts that the n-grams are cut into.
 PARTS = 128
 #: Counts of words are told apart up to this one, and then in so many bins to a power of two.
@@ -275,12 +277,12 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
     size, docs = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~held_out(F.col("id"))).cast("long")), F.lit(0))).first()
     count, parts = max(1, -(-size // batch_bytes)), max(PARTS, -(-size // part_bytes))
     own = own.withColumns({"train": ~held_out(F.col("id")), "batch": F.pmod(F.xxhash64("id", "text"), F.lit(count)), "part": F.lit(None).cast("long"), "reply": F.lit(None).cast("binary")})
-    replies = staged(_answer(_ask(own, parts)), "replies")
+    replies = staged(_answer(_ask(own, parts)), "replies", ROWS)
     levels = replies.filter("batch IS NULL").groupBy("level").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # a few thousand at most
     levels = {x.level: (x.types, x.tokens) for x in sorted(levels)}
     v, n = (sum(x[k] for x in levels.values()) for k in (0, 1))
     asked = replies.filter("batch IS NOT NULL").select("batch", "part", "reply")
-    measured = staged(_measure(own.unionByName(asked, allowMissingColumns=True), n, v, docs, unigram_weight(levels)), "measured")
+    measured = staged(_measure(own.unionByName(asked, allowMissingColumns=True), n, v, docs, unigram_weight(levels)), "measured", ROWS)
     discard(replies)
     cells = measured.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # of BUCKETS * BINS rows at most
     weights = mixture({x.cell: x.n for x in cells})

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -94,6 +95,22 @@ def test_rows_grow_with_the_input_alone(spark):
     assert sent[1] <= 3 * sent[0]
 
 
+def test_python_gets_few_rows_at_once(spark, monkeypatch):
+    """All rows of a task at once took more memory than executors have."""
+    sizes, plain = [], lm.staged
+
+    def spied(df, name, *limit):
+        probe = plain(spark.range(1000).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [x.num_rows]}) for x in batches), "n long"), "probe", *limit)
+        sizes.append(max(x.n for x in probe.collect()))
+        return plain(df, name, *limit)
+
+    monkeypatch.setattr(lm, "staged", spied)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lm.scores(spark.createDataFrame([(k, "a b a") for k in range(20)], "doc_id long, text string")).count()
+    assert len(sizes) == 2 and max(sizes) <= 256
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_levels_of_counts():
     counts = np.array([1, 2, 4095, 4096, 4097, 5000, 2**40])
     found = lm._level(counts)
