@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import tokens
+from lectern.session import shared_path
 
 #: Bytes of queries that are broadcast at once, and numbers of scores that a task holds at once.
 QUERY_BYTES, SCORES = 32 << 20, 1 << 22
@@ -155,7 +156,8 @@ class VectorIndex:
 
 
 class ApproximateIndex:
-    """Random projections over unit vectors; for what exact search is too slow for. Every row is indexed."""
+    """Random projections over unit vectors; for what exact search is too slow for. Every row is indexed: rows and queries that share a bucket in
+    any table are compared where the row is read, as in exact search, so that neither rows nor candidate pairs are shuffled."""
 
     def __init__(self, index: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", width: float = 1.0, tables: int = 8, seed: int = 7, model=None):
         from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -169,19 +171,62 @@ class ApproximateIndex:
 
         wide = F.transform(self.vector_col, lambda x: x.cast("double"))
         norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-        return df.filter(norm > 0).select(F.col(self.id_col).alias("id"), array_to_vector(F.transform(wide, lambda x: x / norm)).alias("unit"))
-
-    def search(self, queries: DataFrame, k: int = 5, distance: float = 1.5) -> DataFrame:
-        """(query_id, id, score, rank) of neighbours within a Euclidean distance of the unit vectors. Queries with fewer than k of them are searched exactly."""
-        pairs = self.model.approxSimilarityJoin(self._units(queries), self.rows, distance, distCol="distance")
-        found = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), (1 - F.col("distance") ** 2 / 2).alias("score")).filter("query_id <> id")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        found = found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+        return df.filter(norm > 0).select(F.col(self.id_col).cast("long").alias("id"), array_to_vector(F.transform(wide, lambda x: x / norm)).alias("unit")).filter("id IS NOT NULL")
+
+    def _hashed(self, units: DataFrame) -> DataFrame:
+        """(id, vector, buckets): the bucket in each table."""
+        from pyspark.ml.functions import vector_to_array
+
+        buckets = F.array(*(vector_to_array(F.col("hashes")[t])[0] for t in range(self.model.getNumHashTables())))
+        return self.model.transform(units).select("id", vector_to_array("unit").alias("vector"), buckets.alias("buckets"))
+
+    def search(self, queries: DataFrame, k: int = 5, distance: float = 1.5, digits: int = 6) -> DataFrame:
+        """(query_id, id, score, rank) of neighbours within a Euclidean distance of the unit vectors; ids of queries are unique. Queries with fewer than k
+        of them are searched exactly. What was found is written to the shared folder once, as it also says which queries are left."""
+        spark = self.index.sparkSession
+        asked, rows = self._hashed(self._units(queries)), self._hashed(self.rows)
+        blocks = -(-(asked.agg(F.coalesce(F.sum(F.size("vector") + F.size("buckets") + 1), F.lit(0))).first()[0] * 8) // QUERY_BYTES)
+        found = [_near_block(asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked, rows, k, distance, digits) for b in range(blocks)]
+        path = shared_path(spark, "near")
+        _ranked(found, spark, k).write.parquet(path)
+        found = spark.read.schema(f"{FOUND}, rank long").parquet(path)
         full = found.filter(F.col("rank") == k).select(F.col("query_id").alias(self.id_col))
-        rest = search(queries.join(full, self.id_col, "left_anti"), self.index, k, self.id_col, self.vector_col)
+        rest = search(queries.join(full, self.id_col, "left_anti"), self.index, k, self.id_col, self.vector_col, digits)
         return found.join(full.withColumnRenamed(self.id_col, "query_id"), "query_id", "left_semi").unionByName(rest)
 
 
+def _near_block(asked: DataFrame, rows: DataFrame, k: int, distance: float, digits: int) -> DataFrame:
+    queries = asked.collect()  # of QUERY_BYTES on average
+    codes, at = np.unique(np.array([x.buckets for x in queries], float).reshape(len(queries), -1), axis=0, return_inverse=True)
+    order = np.argsort(at, kind="stable")  # queries in the same buckets stand together
+    names, own = np.array([x.id for x in queries], np.int64)[order], np.array([x.vector for x in queries], float).reshape(len(queries), -1)[order]
+    shared = rows.sparkSession.sparkContext.broadcast((names, own, codes, np.searchsorted(at[order], np.arange(len(codes) + 1))))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own, codes, starts = shared.value
+        best = Best(len(names), k, digits)
+        for batch in batches:
+            if not len(batch) or not len(names):
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            matrix, buckets = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order] for c in (1, 2))
+            for code, start, end in zip(codes, starts[:-1], starts[1:], strict=True):
+                some = np.flatnonzero((buckets == code).any(1))
+                if not len(some):
+                    continue
+                near, step = matrix[some], max(1, SCORES // len(some))
+                for first in range(start, end, step):
+                    here = slice(first, min(first + step, end))
+                    scores = own[here] @ near.T
+                    scores[(2 - 2 * scores >= distance**2) | (names[here, None] == ids[some][None, :])] = np.nan
+                    best.add(first, scores, ids[some])
+        yield from best.rows(names)
+
+    return rows.mapInArrow(score, FOUND)
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """(recall, n): the share of exact hits that the approximate ones hold."""
     same = exact.join(approximate.select("query_id", "id", F.lit(1.0).alias("hit")), ["query_id", "id"], "left")

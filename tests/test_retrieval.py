@@ -35,6 +35,28 @@ def test_approximate_index_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_approximate_search_shuffles_neither_rows_nor_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(400)]
+    df = vectors(spark, rows).repartition(4)
+    index = retrieval.ApproximateIndex(df, width=0.4, tables=3)
+    found = index.search(df.filter("vec_id % 50 = 0"), 4, distance=1.2)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # of a row for each table
+    # by hand: rows that share a bucket in a table and lie within the distance; all rows for queries with fewer than four of them
+    units = {x.id: (x.vector, x.buckets) for x in index._hashed(index.rows).collect()}
+    want = []
+    for q in range(0, 400, 50):
+        (v, own) = units[q]
+        scored = [(-round(sum(a * b for a, b in zip(v, w, strict=True)), 6), k, any(a == b for a, b in zip(own, other, strict=True))) for k, (w, other) in units.items() if k != q]
+        near = sorted((s, k) for s, k, same in scored if same and 2 + 2 * s < 1.2**2)
+        best = near if len(near) >= 4 else sorted((s, k) for s, k, _ in scored)
+        want += [(q, k, -s, n + 1) for n, (s, k) in enumerate(best[:4])]
+    assert sorted((x.query_id, x.id, x.score, x["rank"]) for x in found.collect()) == sorted(want)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 8 * 12 * 3)
+    monkeypatch.setattr(retrieval, "SCORES", 50)
+    assert sorted((x.query_id, x.id, x.score, x["rank"]) for x in index.search(df.filter("vec_id % 50 = 0"), 4, distance=1.2).collect()) == sorted(want)
+
+
 def test_approximate_search_gives_k_rows(spark):
     df = vectors(spark, [(1, [1.0, 0.0]), (2, [-1.0, 0.1]), (3, [-1.0, -0.2])])
     found = retrieval.ApproximateIndex(df).search(df.filter("vec_id = 1"), 2).orderBy("rank").collect()
