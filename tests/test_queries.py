@@ -40,6 +40,12 @@ def test_dedup_split_where_the_first_copy_has_no_label(spark, tmp_path):
     assert rows_of(own.columns, own.collect()) == rows_of(other.columns, other.fetchall())
 
 
+def test_dedup_split_shuffles_no_text(spark):
+    plan = registry.dedup_split(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Project [doc_id" in x and "text" in x]
+    assert joins and all("sha2(" in x or "struct(" in x for x in joins)
+
+
 def test_lexical_hits_hold_the_verbatim_passages(spark, duck):
     pairs = duck.sql("SELECT item_id, doc_id FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text)").fetchall()
     hits = {(x.question_id, x.id) for x in registry.bm25_topk(spark, SF).collect()}
